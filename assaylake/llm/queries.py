@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from assaylake.llm.answers import read_answers
 
@@ -27,6 +28,30 @@ def p1_length_spikes(spark: SparkSession, path: str) -> DataFrame:
     return length_spikes(length_histogram(read_answers(spark, path)))
 
 
+def _pair_sets(spark: SparkSession, path: str) -> DataFrame:
+    from assaylake.llm.traces import pair_sets
+
+    tasks = spark.read.parquet(f"{path}/task_records.parquet").select(F.lit("task_records").alias("tab"), F.col("record_id").cast("long").alias("id"), F.col("trace.content").alias("text"))
+    packets = spark.read.parquet(f"{path}/packets.parquet").select(F.lit("packets").alias("tab"), F.col("packet_id").cast("long").alias("id"), F.col("workflow_observation").alias("text"))
+    return pair_sets(tasks, True).unionAll(pair_sets(packets, False))
+
+
+def p2_found(spark: SparkSession, path: str) -> DataFrame:
+    from assaylake.llm.near_pairs import near_copies
+
+    return near_copies(_pair_sets(spark, path))
+
+
+def p2_classes(spark: SparkSession, path: str) -> DataFrame:
+    """One row per text: its class of equal texts and the number of other classes that class is linked to."""
+    from assaylake.llm.near_pairs import class_pairs
+    from assaylake.session import materialize
+
+    pairs, members = class_pairs(materialize(_pair_sets(spark, path), "pair-sets"))
+    ends = pairs.select("tab", F.explode(F.array("id_a", "id_b")).alias("rep")).groupBy("tab", "rep").agg(F.count("*").alias("n_links"))
+    return members.join(ends, ["tab", "rep"], "left").select("tab", "id", F.col("rep").alias("class_id"), F.col("size").alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def p6_found(spark: SparkSession, path: str) -> DataFrame:
     from assaylake.llm.pairs import defective
 
@@ -34,7 +59,7 @@ def p6_found(spark: SparkSession, path: str) -> DataFrame:
     return defective(read_answers(spark, path), prompts).select("tab", "row_id", "turn_no", "defect")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_share_by_source, p1_length_spikes, p6_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_share_by_source, p1_length_spikes, p2_found, p2_classes, p6_found)}
 
 #: Oracles for the queries that plain SQL can express.
 ORACLES: dict[str, str] = {

@@ -52,6 +52,19 @@ def p2_classes(spark: SparkSession, path: str) -> DataFrame:
     return members.join(ends, ["tab", "rep"], "left").select("tab", "id", F.col("rep").alias("class_id"), F.col("size").alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def p3_found(spark: SparkSession, path: str) -> DataFrame:
+    from assaylake.llm.splits import split_overlaps
+
+    found = split_overlaps(spark.read.parquet(f"{path}/task_records.parquet"))
+    return found.select(F.least("train_id", "other_id").alias("id_a"), F.greatest("train_id", "other_id").alias("id_b"))
+
+
+def p3_counts(spark: SparkSession, path: str) -> DataFrame:
+    from assaylake.llm.splits import overlap_counts
+
+    return overlap_counts(spark.read.parquet(f"{path}/task_records.parquet"))
+
+
 def p6_found(spark: SparkSession, path: str) -> DataFrame:
     from assaylake.llm.pairs import defective
 
@@ -59,7 +72,7 @@ def p6_found(spark: SparkSession, path: str) -> DataFrame:
     return defective(read_answers(spark, path), prompts).select("tab", "row_id", "turn_no", "defect")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_share_by_source, p1_length_spikes, p2_found, p2_classes, p6_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_share_by_source, p1_length_spikes, p2_found, p2_classes, p3_found, p3_counts, p6_found)}
 
 #: Oracles for the queries that plain SQL can express.
 ORACLES: dict[str, str] = {

@@ -72,7 +72,13 @@ def p6_found(spark: SparkSession, path: str) -> DataFrame:
     return defective(read_answers(spark, path), prompts).select("tab", "row_id", "turn_no", "defect")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_share_by_source, p1_length_spikes, p2_found, p2_classes, p3_found, p3_counts, p6_found)}
+def p7_ids(spark: SparkSession, path: str) -> DataFrame:
+    from assaylake.llm.byte_pairs import encoded
+
+    return encoded(spark.read.parquet(f"{path}/documents.parquet").withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_share_by_source, p1_length_spikes, p2_found, p2_classes, p3_found, p3_counts, p6_found, p7_ids)}
 
 #: Oracles for the queries that plain SQL can express.
 ORACLES: dict[str, str] = {

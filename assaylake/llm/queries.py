@@ -65,6 +65,36 @@ def p3_counts(spark: SparkSession, path: str) -> DataFrame:
     return overlap_counts(spark.read.parquet(f"{path}/task_records.parquet"))
 
 
+def _claim_labels(spark: SparkSession, path: str) -> DataFrame:
+    from assaylake.llm.consensus import claim_labels
+
+    return claim_labels(spark.read.parquet(f"{path}/annotations.parquet"))
+
+
+def p5_found(spark: SparkSession, path: str) -> DataFrame:
+    from assaylake.llm.consensus import Consensus
+
+    return Consensus(_claim_labels(spark, path)).labels().select("task_id", "claim_key", "category", "status")
+
+
+def p5_claims(spark: SparkSession, path: str) -> DataFrame:
+    from assaylake.llm.consensus import Consensus
+
+    return Consensus(_claim_labels(spark, path)).labels()
+
+
+def p5_reliability(spark: SparkSession, path: str) -> DataFrame:
+    from assaylake.llm.consensus import Consensus
+
+    return Consensus(_claim_labels(spark, path)).reliability()
+
+
+def p5_agreement(spark: SparkSession, path: str) -> DataFrame:
+    from assaylake.llm.consensus import chance_corrected
+
+    return chance_corrected(_claim_labels(spark, path))
+
+
 def p6_found(spark: SparkSession, path: str) -> DataFrame:
     from assaylake.llm.pairs import defective
 
@@ -78,7 +108,7 @@ def p7_ids(spark: SparkSession, path: str) -> DataFrame:
     return encoded(spark.read.parquet(f"{path}/documents.parquet").withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_share_by_source, p1_length_spikes, p2_found, p2_classes, p3_found, p3_counts, p6_found, p7_ids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_share_by_source, p1_length_spikes, p2_found, p2_classes, p3_found, p3_counts, p5_found, p5_claims, p5_reliability, p5_agreement, p6_found, p7_ids)}
 
 #: Oracles for the queries that plain SQL can express.
 ORACLES: dict[str, str] = {

@@ -108,7 +108,26 @@ def p7_ids(spark: SparkSession, path: str) -> DataFrame:
     return encoded(spark.read.parquet(f"{path}/documents.parquet").withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_share_by_source, p1_length_spikes, p2_found, p2_classes, p3_found, p3_counts, p5_found, p5_claims, p5_reliability, p5_agreement, p6_found, p7_ids)}
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/documents.parquet").withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def p8_leaks(spark: SparkSession, path: str) -> DataFrame:
+    from assaylake.llm.leaks import leaks
+
+    return leaks(_documents(spark, path), spark.read.parquet(f"{path}/eval_items.parquet"))
+
+
+def p8_found(spark: SparkSession, path: str) -> DataFrame:
+    return p8_leaks(spark, path).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, path: str) -> DataFrame:
+    """Each leaked item: how many documents hold it and how much of it at most."""
+    return p8_leaks(spark, path).groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("share").alias("largest_share"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_share_by_source, p1_length_spikes, p2_found, p2_classes, p3_found, p3_counts, p5_found, p5_claims, p5_reliability, p5_agreement, p6_found, p7_ids, p8_found, p8_leaks, p8_items)}
 
 #: Oracles for the queries that plain SQL can express.
 ORACLES: dict[str, str] = {

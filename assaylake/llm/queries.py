@@ -127,7 +127,25 @@ def p8_items(spark: SparkSession, path: str) -> DataFrame:
     return p8_leaks(spark, path).groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("share").alias("largest_share"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_share_by_source, p1_length_spikes, p2_found, p2_classes, p3_found, p3_counts, p5_found, p5_claims, p5_reliability, p5_agreement, p6_found, p7_ids, p8_found, p8_leaks, p8_items)}
+def p9_cases(spark: SparkSession, path: str) -> DataFrame:
+    from assaylake.llm.language_filters import document_languages, learned, mislabelled, sampled
+
+    documents = _documents(spark, path)
+    return mislabelled(document_languages(documents, learned(sampled(documents))))
+
+
+def p9_found(spark: SparkSession, path: str) -> DataFrame:
+    return p9_cases(spark, path).select("doc_id", "lang")
+
+
+def p9_segments(spark: SparkSession, path: str) -> DataFrame:
+    from assaylake.llm.language_filters import language_segments, learned, sampled
+
+    documents = _documents(spark, path)
+    return language_segments(documents, learned(sampled(documents)))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_share_by_source, p1_length_spikes, p2_found, p2_classes, p3_found, p3_counts, p5_found, p5_claims, p5_reliability, p5_agreement, p6_found, p7_ids, p8_found, p8_leaks, p8_items, p9_found, p9_cases, p9_segments)}
 
 #: Oracles for the queries that plain SQL can express.
 ORACLES: dict[str, str] = {

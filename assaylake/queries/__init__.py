@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assaylake.queries import packets
+from assaylake.queries import analysis, corpora, packets
 
-_MODULES = (packets,)
+_MODULES = (analysis, corpora, packets)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, path: str) -> DataFrame:
-    return packets.p4_found(spark, path)
+    """Success rates with intervals by method and model."""
+    return analysis.rate_rollup_wilson(spark, path)

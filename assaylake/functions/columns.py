@@ -65,8 +65,10 @@ def canonical_moment(text: Column | str) -> Column:
 def shingles(words: Column, size: int = 2) -> Column:
     """The distinct runs of `size` words, joined by blanks; shorter lists give their words as one shingle, empty ones none."""
     n = F.size(words)
-    many = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))), lambda i: F.concat_ws(" ", F.slice(words, i + 1, size))))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(many)
+    runs = F.slice(words, 1, F.greatest(n - (size - 1), F.lit(0)))
+    for i in range(1, size):
+        runs = F.zip_with(runs, F.slice(words, i + 1, F.greatest(n - (size - 1), F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(n == 0, F.array().cast("array<string>")).when(n < size, F.array(F.concat_ws(" ", words))).otherwise(F.array_distinct(runs))
 
 
 def words(text: Column | str) -> Column:

@@ -67,7 +67,7 @@ def stream_fold(spark: SparkSession, path: str) -> DataFrame:
     name = f"duplicates_{abs(hash(path))}"
     stream = streams.stream_duplicates(streams.read_events(spark, path, _events(spark, path).schema))
     query = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    query.awaitTermination(600)
     return spark.table(name)
 
 

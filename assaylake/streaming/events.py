@@ -36,13 +36,10 @@ def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "1 ho
 def stream_duplicates(events: DataFrame, keep: int = 10_000) -> DataFrame:
     """user_id, event_id, is_duplicate: whether the user had an event of the same type and props in the `keep` latest distinct ones.
 
-    State per user is bounded by `keep` signatures; it is dropped after a day without events.
+    State per user is bounded by `keep` signatures.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         seen = dict.fromkeys(state.get[0]) if state.exists else {}
         for pdf in batches:
             pdf = pdf.sort_values(["ts", "event_id"])
@@ -56,8 +53,7 @@ def stream_duplicates(events: DataFrame, keep: int = 10_000) -> DataFrame:
                     seen.pop(next(iter(seen)))
             yield pd.DataFrame({"user_id": key[0], "event_id": pdf["event_id"], "is_duplicate": flags})
         state.update((list(seen),))
-        state.setTimeoutDuration(86_400_000)
 
     return events.groupBy("user_id").applyInPandasWithState(
-        step, "user_id long, event_id long, is_duplicate boolean", "signatures array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "user_id long, event_id long, is_duplicate boolean", "signatures array<string>", "append", GroupStateTimeout.NoTimeout
     )

@@ -70,7 +70,7 @@ class Model:
     def first(classes: list[str], annotators: int) -> Model:
         k = len(classes)
         wrong = np.full((annotators, k, k), 1 / max(1, k - 1))
-        return Model(classes, np.full(k, 1 / k), np.full((annotators, k), 1.0), wrong)
+        return Model(classes, np.full(k, 1 / max(1, k)), np.full((annotators, k), 1.0), wrong)
 
     def step(self, sums: dict[str, np.ndarray]) -> None:
         """One maximisation step from the sums of an expectation pass."""
@@ -81,7 +81,7 @@ class Model:
         k = len(self.classes)
         usual = sums["errors"].sum(1, keepdims=True) + 0.5
         usual = np.broadcast_to(usual, sums["errors"].shape) * (1 - np.eye(k))
-        usual = usual / usual.sum(2, keepdims=True)
+        usual = usual / np.maximum(usual.sum(2, keepdims=True), 1e-12)
         wrong = sums["errors"] + 2.0 * usual
         self.wrong = np.maximum(wrong / np.maximum(wrong.sum(2, keepdims=True), 1e-12), 1e-6)
         self.prior = (sums["prior"] + 1) / (sums["prior"] + 1).sum()

@@ -63,7 +63,7 @@ NO_TEXT = re.compile(f"[{INVISIBLE}\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 def named_language(label: Column | str) -> Column:
     """The two-letter code of one of LANGUAGES, or null."""
-    base = F.regexp_extract(F.lower(F.trim(F.regexp_replace(label, r"^[\s]+|[\s]+$", ""))), r"^([^\W\d_]+)", 1)
+    base = F.regexp_extract(F.lower(F.trim(F.regexp_replace(label, r"^[\s]+|[\s]+$", ""))), r"^(\p{L}+)", 1)
     pairs = [F.lit(x) for code, names in NAMES.items() for name in names.split() for x in (name, code)]
     return F.try_element_at(F.create_map(*pairs), base)
 
@@ -146,7 +146,7 @@ def learned(texts: list[tuple[str, str]]) -> Filters:
     for label, text in texts:
         for segment in segments(text):
             got, lead, votes = vote(segment)
-            if got == label and votes >= 2 and lead >= 0.2:
+            if got == label and votes >= 2 and lead >= 0.1:
                 total[label] += 1
                 for gram in {g for u in units(segment) for g in ngrams(u)}:
                     counts[gram][label] += 1

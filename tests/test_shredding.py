@@ -84,3 +84,18 @@ def test_repeated_packets_are_each_shredded(spark):
     text = json.dumps({"authenticated_upstream_trace": {"content": {"a": 1}}})
     df = packets(spark, text, text)
     assert shredding.content_nodes(shredding.packet_nodes(df)).groupBy("node_path").agg(F.count("*").alias("n")).first().n == 2
+
+
+def test_conditions_paths_and_deep_search(spark):
+    from assaylake.operators import predicates
+
+    atoms = spark.createDataFrame([("t", "a", "known", "true"), ("t", "b", "unknown", "null"), ("t", "c", "known", '"x=y"')], "task_id string, key string, status string, value_json string")
+    rows = ["a=known", "!a=known", "a=True", "b=None", "b=unknown", "c=x=y", "!c=z", "d=known", "a"]
+    df = spark.createDataFrame([("t", r) for r in rows], "task_id string, condition string")
+    got = {r.condition: r.verdict for r in predicates.evaluated(df, atoms, ["task_id"], "condition").collect()}
+    assert got == {"a=known": "satisfied", "!a=known": "contradicted", "a=True": "satisfied", "b=None": "satisfied", "b=unknown": "satisfied", "c=x=y": "satisfied", "!c=z": "satisfied", "d=known": "missing", "a": "contradicted"}
+    docs = spark.createDataFrame([(1, '{"a": {"b": null}}'), (2, '{"a": {}}'), (3, "{"), (4, None), (5, '{"a": {"b": "v"}, "v": 1}')], "id long, j string")
+    exists, value = predicates.at_path(F.col("j"), "a", "b")
+    assert [tuple(r) for r in docs.select(exists, value).collect()] == [(True, "null"), (False, None), (False, None), (False, None), (True, "v")]
+    nodes = shredding.shred(docs, "id", "j")
+    assert [(r.id, r.n_hits) for r in predicates.containing(nodes, ["id"], "v", labels=True).collect()] == [(5, 2)]

@@ -90,17 +90,21 @@ def shred(documents: DataFrame, key: str, document: str) -> DataFrame:
 
 
 def entities(nodes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """keys, node and one column per label: object nodes joined with their scalar children, pivoted.
+    """keys, node, parent and one column per label: object nodes joined with their scalar children, pivoted.
 
     Objects without any such child keep a row of nulls. One pass: an object meets its children in the aggregation over the
     object's number, so nothing is joined twice.
     """
-    owner = F.when(F.col("kind") == "object", F.array(F.struct(F.col("node").alias("entity"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("scalar"))))
-    child = F.when(~F.col("kind").isin("object", "array") & F.col("label").isin(*columns) & F.col("parent").isNotNull(), F.array(F.struct(F.col("parent").alias("entity"), "label", "scalar")))
+    link = lambda entity, parent, label, scalar: F.array(F.struct(entity.alias("entity"), parent.alias("parent"), label.alias("label"), scalar.alias("scalar")))
+    none, nowhere = F.lit(None).cast("string"), F.lit(None).cast("long")
+    owner = F.when(F.col("kind") == "object", link(F.col("node"), F.col("parent"), none, none))
+    child = F.when(
+        ~F.col("kind").isin("object", "array") & F.col("label").isin(*columns) & F.col("parent").isNotNull(), link(F.col("parent"), nowhere, F.col("label"), F.col("scalar"))
+    )
     links = nodes.select(*keys, F.inline(F.coalesce(owner, child)))
     return (
         links.groupBy(*keys, F.col("entity").alias("node"))
-        .agg(*[F.max(F.when(F.col("label") == c, F.col("scalar"))).alias(c) for c in columns])
+        .agg(F.max("parent").alias("parent"), *[F.max(F.when(F.col("label") == c, F.col("scalar"))).alias(c) for c in columns])
     )
 
 
@@ -149,8 +153,7 @@ EVENT_COLUMNS = ["trace_id", "source_type", "tool", "success"]
 def packet_events(nodes: DataFrame, key: str = "packet_id") -> DataFrame:
     """key, event_no, node and the event's attributes as text; one row per event that is an object."""
     of_events = nodes.filter(F.col("node_path").isNull())
-    roots = of_events.filter(F.col("parent").isNull() & (F.col("kind") == "object")).select(key, "event_no", "node")
-    return roots.join(entities(of_events, [key, "event_no"], EVENT_COLUMNS), [key, "event_no", "node"])
+    return entities(of_events, [key, "event_no"], EVENT_COLUMNS).filter(F.col("parent").isNull()).drop("parent")
 
 
 def content_nodes(nodes: DataFrame, key: str = "packet_id") -> DataFrame:
@@ -165,7 +168,7 @@ def content_nodes(nodes: DataFrame, key: str = "packet_id") -> DataFrame:
 def packet_table(packets: DataFrame) -> DataFrame:
     """One row per packet with valid JSON: its own attributes and its boundary's."""
     nodes = shred(packets, "packet_id", "packet_json")
-    roots = entities(nodes.filter("parent is null or parent = 0"), ["packet_id"], ["task_id", "domain"]).filter("node = 0").drop("node")
+    roots = entities(nodes.filter("parent is null or parent = 0"), ["packet_id"], ["task_id", "domain"]).filter("node = 0").drop("node", "parent")
     boundary = nodes.filter("label = 'boundary' and parent = 0 and kind = 'object'").select("packet_id", "node")
     columns = ["boundary_id", "source_role", "target_role", "trace_cut"]
     below = entities(nodes, ["packet_id"], columns).join(boundary, ["packet_id", "node"]).select("packet_id", *columns)

@@ -91,7 +91,7 @@ class Encoder:
         key = left << 17 | right
         rank = self.pair_ranks.get(key)
         if rank is None:
-            if len(self.pair_ranks) > 2_000_000:
+            if len(self.pair_ranks) > 500_000:
                 self.pair_ranks.clear()
             rank = self.pair_ranks[key] = self.rank_of.get(self.tokens[left] + self.tokens[right], -1)
         return rank

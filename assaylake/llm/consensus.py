@@ -233,6 +233,8 @@ class Consensus:
         """annotator, field, mean ability, expected accuracy at usual difficulty, labels, and the smallest member of the copies."""
         sums, _ = self._pass(False)
         rows = []
+        if not sums:
+            return self.spark.createDataFrame(rows, "annotator string, field string, ability double, accuracy double, n_labels long, copies_of string")
         for i, (field, model) in enumerate(zip(FIELDS, self.models, strict=True)):
             right, seen = sums[f"{i}:right"].sum(1), sums[f"{i}:seen"]
             for a, name in enumerate(self.annotators):

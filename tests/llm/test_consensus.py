@@ -86,7 +86,7 @@ def test_three_annotators_are_needed_and_empty_tables_work(spark):
     out = Consensus(claim_labels(annotations(spark, rows)), passes=3).labels().collect()
     assert [(r.claim_key, r.category, r.status, r.n_labels, r.agreement) for r in out] == [("k", "goal", "known", 3, 1.0)]
     none = Consensus(claim_labels(annotations(spark, rows).limit(0)))
-    assert none.labels().count() == 0
+    assert none.labels().count() == 0 and none.reliability().count() == 0
     assert chance_corrected(claim_labels(annotations(spark, rows).limit(0))).count() == 0
 
 

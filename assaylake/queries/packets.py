@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assaylake.functions.columns import rounded, spelled
 from assaylake.operators import predicates, shredding
+from assaylake.session import materialize
 
 
 def _packets(spark: SparkSession, path: str) -> DataFrame:
@@ -14,7 +15,7 @@ def _packets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, path: str) -> DataFrame:
-    nodes = shredding.packet_nodes(_packets(spark, path))
+    nodes = materialize(shredding.packet_nodes(_packets(spark, path)), "packet-nodes")
     return shredding.content_nodes(nodes).select("packet_id", "event_no", "trace_id", "source_type", "node_path", "node_kind")
 
 

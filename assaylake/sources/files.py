@@ -70,7 +70,7 @@ def read_markdown_tables(spark: SparkSession, path: str, columns: int | None = N
     With `columns`, rows of another width are kept with valid false.
     """
     lines = spark.read.text(path).withColumn("path", F.col("_metadata.file_path")).filter(F.trim("value").rlike(r"^\|.*\|$") & ~F.trim("value").rlike(r"^[|\s:\-]+$"))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     valid = F.size("cells") == columns if columns else F.lit(True)
     return lines.select("path", cells.alias("cells"), F.regexp_extract_all("value", F.lit(r"`([^`]+)`"), 1).alias("codes")).withColumn("valid", valid)
 

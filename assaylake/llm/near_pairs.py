@@ -2,13 +2,14 @@
 
 Method: deletion-variant signatures. Each text gets a signature of min-wise symbols, cut into segments of four symbols, few
 enough that similar texts share a segment but for one symbol at most; each segment is indexed by its four variants with one
-wildcard, variants meet by an equality join, and candidates are verified: first by the Hamming distance of 128-bit SimHash
+wildcard, variants meet by an equality join, and candidates are verified: first by the Hamming distance of 192-bit SimHash
 fingerprints that travel with the index, then exactly. The symbols are min-wise hashes, not single bits: at half-alike texts
 (Jaccard 0.5) a fourth of all fingerprint bits differ, so that segments of bits which one deletion would make equal are five
 bits long and hold the whole table; symbols keep the scheme and make the variants selective.
 
 At similarity s one segment matches with s^4 + 4 s^3 (1 - s): with ten segments 0.5 is found with 0.976, 0.55 with 0.993,
-0.6 with 0.9984 and more beyond. Pairs that many texts share weigh less, both here and in the fingerprints.
+0.6 with 0.9984 and more beyond. All word pairs weigh the same, here and in the fingerprints, however many texts hold them: the
+similarity that is searched is the one that is asked for, in groups of any size.
 
 Equal texts are one class before anything is joined, whatever their number; classes are expanded at the end only. Nothing
 is capped. Nulls, empty texts and texts of under eight words give no rows.
@@ -24,40 +25,21 @@ from assaylake.functions.arrow import map_rows
 from assaylake.session import materialize
 
 SEGMENTS, SYMBOLS = 10, 4
-#: At most so many of the 128 fingerprint bits differ in a candidate.
-RADIUS = 50
-#: Word pairs in more than this share of a table's texts weigh less; they are at most (mean set size / COMMON) many.
-COMMON = 0.01
+BITS = ("bits_a", "bits_b", "bits_c")
+#: At most so many of the 192 fingerprint bits differ in a candidate: 3.4 standard deviations over the 51 of half-alike texts of one size.
+RADIUS = 72
 
 
-def common_pairs(sets: DataFrame, common: float = COMMON) -> dict[str, dict[int, float]]:
-    """By table, the weights below 1: the root of the common share over the pair's own share of the texts.
-
-    The result is bounded: pairs of a share above `common` are at most (mean set size / common) many.
-    """
-    total = {r.tab: r.n for r in sets.groupBy("tab").agg(F.count("*").alias("n")).collect()}
-    counts = sets.select("tab", F.explode("grams").alias("gram")).groupBy("tab", "gram").agg(F.count("*").alias("n"))
-    limit = F.lit(None).cast("double")
-    for tab, n in total.items():
-        limit = F.when(F.col("tab") == tab, F.lit(max(20.0, common * n))).otherwise(limit)
-    out: dict[str, dict[int, float]] = {tab: {} for tab in total}
-    for r in counts.filter(F.col("n") > limit).collect():
-        out[r.tab][r.gram] = (max(20.0, common * total[r.tab]) / r.n) ** 0.5
-    return out
-
-
-def signatures(sets: DataFrame, weights: dict[str, dict[int, float]], segments: int = SEGMENTS, symbols: int = SYMBOLS) -> DataFrame:
-    """tab, id, keys (hashes of the one-wildcard variants of all segments), bits_a, bits_b (the fingerprint)."""
-    shared = sets.sparkSession.sparkContext.broadcast({t: (np.array(sorted(w), np.int32), np.array([w[g] for g in sorted(w)])) for t, w in weights.items()})
+def signatures(sets: DataFrame, segments: int = SEGMENTS, symbols: int = SYMBOLS) -> DataFrame:
+    """tab, id, keys (hashes of the one-wildcard variants of all segments), bits_a, bits_b, bits_c (the fingerprint)."""
 
     def make():
         rng = np.random.default_rng(20250117)
         odd = rng.integers(1, 1 << 63, segments * symbols, dtype=np.uint64) | np.uint64(1)
         add = rng.integers(0, 1 << 63, segments * symbols, dtype=np.uint64)
-        mask = (rng.integers(1, 1 << 63, 2, dtype=np.uint64) | np.uint64(1))[None, :]
+        mask = (rng.integers(1, 1 << 63, 3, dtype=np.uint64) | np.uint64(1))[None, :]
         place = rng.integers(1, 1 << 63, symbols, dtype=np.uint64) | np.uint64(1)
         salt = rng.integers(0, 1 << 63, (segments, symbols), dtype=np.uint64)
-        tables = shared.value
 
         def mixed(x: np.ndarray) -> np.ndarray:
             x = x ^ (x >> np.uint64(32))
@@ -66,33 +48,26 @@ def signatures(sets: DataFrame, weights: dict[str, dict[int, float]], segments:
 
         def row(tab, id_, grams):
             g = np.asarray(grams, np.int32)
-            known, less = tables[tab]
-            weight = np.ones(len(g))
-            if len(known):
-                at = np.searchsorted(known, g)
-                at[at == len(known)] = 0
-                hit = known[at] == g
-                weight[hit] = less[at[hit]]
             base = mixed(g.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-            draws = (mixed(base[:, None] * odd[None, :] + add[None, :]) >> np.uint64(11)).astype(np.float64) / weight[:, None]
+            draws = mixed(base[:, None] * odd[None, :] + add[None, :])
             symbol = base[draws.argmin(0)].reshape(segments, symbols) * place[None, :]
             whole = symbol.sum(1, dtype=np.uint64)
             tag = np.uint64(sum(map(ord, tab)))
             keys = mixed(whole[:, None] - symbol + salt + tag)  # without symbol i: the variant with its wildcard there
-            signs = np.unpackbits(mixed(base[:, None] * mask).view(np.uint8).reshape(len(g), 16), axis=1)
-            bits = np.packbits((weight @ signs) > weight.sum() / 2).view(np.int64)
-            yield tab, id_, keys.view(np.int64).ravel(), int(bits[0]), int(bits[1])
+            signs = np.unpackbits(mixed(base[:, None] * mask).view(np.uint8).reshape(len(g), 24), axis=1)
+            bits = np.packbits(2 * signs.sum(0, dtype=np.int64) > len(g)).view(np.int64)
+            yield tab, id_, keys.view(np.int64).ravel(), int(bits[0]), int(bits[1]), int(bits[2])
 
         return row
 
-    return map_rows(sets, ["tab", "id", "grams"], make, "tab string, id long, keys array<long>, bits_a long, bits_b long")
+    return map_rows(sets, ["tab", "id", "grams"], make, "tab string, id long, keys array<long>, bits_a long, bits_b long, bits_c long")
 
 
 def candidates(signed: DataFrame, radius: int = RADIUS) -> DataFrame:
     """tab, id_a < id_b: pairs that share a variant and whose fingerprints are near."""
-    index = signed.select(F.explode("keys").alias("key"), "tab", "id", "bits_a", "bits_b")
+    index = signed.select(F.explode("keys").alias("key"), "tab", "id", *BITS)
     a, b = index.alias("a"), index.alias("b")
-    far = F.bit_count(F.col("a.bits_a").bitwiseXOR(F.col("b.bits_a"))) + F.bit_count(F.col("a.bits_b").bitwiseXOR(F.col("b.bits_b")))
+    far = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in BITS), F.lit(0))
     near = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.tab") == F.col("b.tab")) & (far <= radius)
     return a.join(b, near).select("a.tab", F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
 
@@ -122,8 +97,7 @@ def class_pairs(sets: DataFrame, least: float = 0.5) -> tuple[DataFrame, DataFra
     members = classes(sets)
     copies = members.filter("id <> rep").select("tab", "id")
     single = sets.join(copies, ["tab", "id"], "left_anti")
-    weights = common_pairs(sets)
-    return verified(candidates(signatures(single, weights)), sets, least), members
+    return verified(candidates(signatures(single)), sets, least), members
 
 
 def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -63,11 +63,13 @@ def event_pivot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_fold(spark: SparkSession, path: str) -> DataFrame:
-    """The running duplicates as a stream over the same file, with state per user; the result after all input."""
+    """The running duplicates as a stream over the same file, with state per user, type and props; the result after all input."""
     name = f"duplicates_{abs(hash(path))}"
     stream = streams.stream_duplicates(streams.read_events(spark, path, _events(spark, path).schema))
     query = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination(600)
+    if not query.awaitTermination(600):
+        query.stop()
+        raise TimeoutError("stream_fold: input left after 600 seconds")
     return spark.table(name)
 
 

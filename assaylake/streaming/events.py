@@ -33,27 +33,25 @@ def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "1 ho
     return out.select("user_id", F.col("w.start").alias("session_start"), "n")
 
 
-def stream_duplicates(events: DataFrame, keep: int = 10_000) -> DataFrame:
-    """user_id, event_id, is_duplicate: whether the user had an event of the same type and props in the `keep` latest distinct ones.
+def stream_duplicates(events: DataFrame) -> DataFrame:
+    """user_id, event_id, is_duplicate: whether the user had an event of the same type and props before.
 
-    State per user is bounded by `keep` signatures.
+    State is one flag per user, type and props, so it is exact for any number of them; of a key's rows one is in memory at a time.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = dict.fromkeys(state.get[0]) if state.exists else {}
+        out = lambda pdf, flag: pd.DataFrame({"user_id": key[0], "event_id": pdf["event_id"], "is_duplicate": flag})
+        first = None
         for pdf in batches:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            flags = []
-            for kind, props in zip(pdf["event_type"], pdf["props"], strict=True):
-                signature = f"{kind}|{props}"
-                flags.append(signature in seen)
-                seen.pop(signature, None)
-                seen[signature] = None
-                if len(seen) > keep:
-                    seen.pop(next(iter(seen)))
-            yield pd.DataFrame({"user_id": key[0], "event_id": pdf["event_id"], "is_duplicate": flags})
-        state.update((list(seen),))
-
-    return events.groupBy("user_id").applyInPandasWithState(
-        step, "user_id long, event_id long, is_duplicate boolean", "signatures array<string>", "append", GroupStateTimeout.NoTimeout
+            if not state.exists:
+                pdf = (pdf if first is None else pd.concat([first, pdf])).sort_values(["ts", "event_id"])
+                first, pdf = pdf.iloc[:1], pdf.iloc[1:]
+            if len(pdf):
+                yield out(pdf, True)
+        if first is not None:
+            yield out(first, False)
+            state.update((True,))
+
+    return events.groupBy("user_id", "event_type", "props").applyInPandasWithState(
+        step, "user_id long, event_id long, is_duplicate boolean", "seen boolean", "append", GroupStateTimeout.NoTimeout
     )

@@ -58,3 +58,15 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.user_id, r.event_id): r.is_duplicate for r in spark.table("dups").collect()}
     want = {(r.user_id, r.event_id): r.is_duplicate for r in eventlog.running_duplicates(df, ["user_id", "event_type", "props"], ["ts", "event_id"]).collect()}
     assert got == want
+
+
+def test_stream_keeps_every_signature_of_a_hot_user(spark, tmp_path):
+    n = 10_050
+    df = make(spark, [(1, "a", str(i % n)) for i in range(n + 20)]).select("event_id", "ts", "user_id", "event_type", "props")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = streams.stream_duplicates(streams.read_events(spark, str(tmp_path / "in"), df.schema, "*.parquet"))
+    query = stream.writeStream.format("memory").queryName("hot_dups").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    assert query.awaitTermination(300)
+    ids = [r.event_id for r in df.orderBy("ts", "event_id").select("event_id").collect()]
+    assert sorted(r.event_id for r in spark.table("hot_dups").filter("is_duplicate").collect()) == sorted(ids[n:])
+    assert spark.table("hot_dups").count() == n + 20

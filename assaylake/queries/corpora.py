@@ -164,13 +164,54 @@ def agreement_prf(spark: SparkSession, path: str) -> DataFrame:
     return out.select("n_a", "n_b", "tp", *[rounded(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
 
 
-def queue_resolution(spark: SparkSession, path: str) -> DataFrame:
+def _resolution_rules() -> list:
     has = lambda f: F.array_contains("fields", f)
-    rules = [("REJECT", F.col("kind") == "missing_from_a"), ("ACCEPT_A", F.col("kind") == "missing_from_b"), ("RECONSTRUCT", has("category") & has("status")), ("ACCEPT_B", has("value_json"))]
-    out = agreement.resolved(_two(spark, path).filter("kind <> 'none'"), rules, "ACCEPT_A")
+    return [("REJECT", F.col("kind") == "missing_from_a"), ("ACCEPT_A", F.col("kind") == "missing_from_b"), ("RECONSTRUCT", has("category") & has("status")), ("ACCEPT_B", has("value_json"))]
+
+
+def queue_resolution(spark: SparkSession, path: str) -> DataFrame:
+    out = agreement.resolved(_two(spark, path).filter("kind <> 'none'"), _resolution_rules(), "ACCEPT_A")
     return out.groupBy("resolution").agg(F.count("*").alias("n"))
 
 
+PAIR = ["annotator_a", "annotator_b"]
+
+
+def _sides(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The claims of either side of every pair of annotators, the smaller name first, on the tasks that both did."""
+    did = claims.filter("annotator is not null").select("annotator", "task_id").distinct()
+    a, b = did.withColumnRenamed("annotator", "annotator_a"), did.withColumnRenamed("annotator", "annotator_b")
+    pairs = a.join(b, "task_id").filter("annotator_a < annotator_b")
+    side = lambda name: claims.withColumnRenamed("annotator", name).join(pairs, [name, "task_id"])
+    return side("annotator_a"), side("annotator_b")
+
+
+def _all_pairs(spark: SparkSession, path: str) -> DataFrame:
+    return agreement.differences(*_sides(_claims(spark, path)), [*PAIR, "task_id", "key"], ["category", "status", "value_json", "criticality"])
+
+
+def disagreement_queue_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """disagreement_queue of every pair of annotators."""
+    return _all_pairs(spark, path).filter("kind <> 'none'").select(*PAIR, "task_id", "key", "kind", F.array_join("fields", ",").alias("fields"))
+
+
+def agreement_prf_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """agreement_prf of every pair of annotators."""
+    out = agreement.agreement(_all_pairs(spark, path), PAIR, ["category", "status", "value_json"])
+    return out.select(*PAIR, "n_a", "n_b", "tp", *[rounded(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def queue_resolution_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """queue_resolution of every pair of annotators."""
+    out = agreement.resolved(_all_pairs(spark, path).filter("kind <> 'none'"), _resolution_rules(), "ACCEPT_A")
+    return out.groupBy(*PAIR, "resolution").agg(F.count("*").alias("n"))
+
+
+def merged_claims_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """The claims of every pair of annotators merged on the tasks that both did."""
+    return agreement.merged(*_sides(_claims(spark, path).filter("key is not null")), [*PAIR, "task_id", "key"], ["category", "status"])
+
+
 def claim_counters(spark: SparkSession, path: str) -> DataFrame:
     claims = _table(spark, path, "annotations").select(F.inline("claims")).filter("key is not null")
     return claims.groupBy(spelled("category").alias("category"), spelled("status").alias("status")).agg(F.count("*").alias("n"))
@@ -270,6 +311,7 @@ QUERIES = {f.__name__: f for f in (
     running_duplicates, call_budget, ordered_subsequence, forbidden_before, state_fold, mode_lowest_tie, event_sessions, windowed_error_rate, event_pivot, stream_fold, duplicate_groups,
     collision_probe, overlap_jaccard_topk, multiset_f1, canonical_hash, canonical_outputs, constraint_audit, hard_gates, disagreement_queue, agreement_prf, queue_resolution, claim_counters,
     state_scores, assignment_match, priority_tiers, set_algebra_lineage, set_differences, merged_claims, seeded_order, label_parts, late_records, order_lines_wide, top_customers, power_grid, design_matrix,
+    disagreement_queue_pairs, agreement_prf_pairs, queue_resolution_pairs, merged_claims_pairs,
 )}
 
 

@@ -1,52 +1,34 @@
 """Defects of prompt-response pairs: one verdict per answer.
 
 Method: the answer runs through a suffix automaton of its prompt's words, which measures the copied share; refusal phrases
-are found by an Aho-Corasick automaton; truncation by the delimiter stack and sentence ends of `answers`; the language by
-votes of function words.
+are found by an automaton over classes of words (`refusals`); truncation by the delimiter stack and sentence ends of `answers`
+and the length limits of `truncation`; the language by votes of function words.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
-import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.functions.arrow import map_rows
-from assaylake.llm.answers import CUT_MARK, LAST_LINES, Shape, shape, visible
+from assaylake.llm.answers import CLOSERS, CUT_MARK, TERMINAL, Shape, closing_line, shape, visible
 from assaylake.llm.languages import vote
 from assaylake.llm.suffix_automaton import SuffixAutomaton
-from assaylake.llm.truncation import length_histogram, length_spikes
-from assaylake.llm.wordlists import REFUSALS
+from assaylake.llm.truncation import ending, rule_of, source_marks, with_lengths
+from assaylake.llm.refusals import refuses
 
 #: An answer is a copy if so much of its words lies in runs of four or more words of the prompt; prose of another language
-#: needs so many votes and such a lead over the next language, as must the prompt. Refusals are at most so long.
+#: needs so many votes and such a lead over the next language, as must the prompt.
 COPIED, SHORTEST_COPY, RUN = 0.8, 8, 4
 VOTES, LEAD = 3, 0.1
-LONGEST_REFUSAL = 80
+#: Endings that are cuts only at a limit, or only in sources with punctuation.
+UNSURE = ("loose", "sentence")
 
 TOKENS = re.compile(r"[^\W_]+")
 
 
-@lru_cache(1)
-def refusal_automaton() -> ahocorasick.Automaton:
-    automaton = ahocorasick.Automaton()
-    for phrase in REFUSALS:
-        automaton.add_word(phrase, phrase)
-    automaton.make_automaton()
-    return automaton
-
-
-def refuses(text: str) -> bool:
-    """Whether a short text contains a refusal phrase outside quotation marks."""
-    if len(text) > 1000:
-        return False
-    plain = re.sub(r"[“\"„«][^“”\"„»«]*[”\"“»]", " ", text.lower().replace("’", "'"))
-    return next(iter(refusal_automaton().iter(plain)), None) is not None and len(TOKENS.findall(plain)) <= LONGEST_REFUSAL
-
-
 def strings_of(value: object, into: list[str]) -> list[str]:
     if isinstance(value, str):
         into.append(value)
@@ -62,7 +44,7 @@ def strings_of(value: object, into: list[str]) -> list[str]:
 def bare_prose(body: str) -> str:
     """Prose without code blocks and closing lines, whose words have no language."""
     body = re.sub(r"```.*?(?:```|$)", " ", body, flags=re.S)
-    return "\n".join(line for line in body.split("\n") if not LAST_LINES.match(line.strip()))
+    return "\n".join(line for line in body.split("\n") if line.rstrip(CLOSERS)[-1:] in TERMINAL or not closing_line(line.strip(), ""))
 
 
 class Prompt:
@@ -86,13 +68,11 @@ class Prompt:
         return self._language
 
 
-def defect(text: str | None, prompt: Prompt | None, at_limit: bool = False, known: Shape | None = None) -> str | None:
-    """'empty', 'truncated', 'refusal', 'copied_prompt', 'other_language' or None, in this order of precedence."""
+def defect(text: str | None, prompt: Prompt | None, known: Shape | None = None) -> str | None:
+    """'empty', 'refusal', 'copied_prompt', 'other_language' or None, in this order of precedence; whether it is cut, set aside."""
     got = known or shape(text)
     if got.kind == "blank":
         return "empty"
-    if not got.whole or (got.fragile and at_limit):
-        return "truncated"
     if got.kind == "json":
         strings = [s for s in strings_of(got.value, []) if len(s) >= 20]
         if not strings:
@@ -135,15 +115,16 @@ def defective(answers: DataFrame, prompts: DataFrame) -> DataFrame:
     answers are empty answers; hashes beyond the answers are none.
     """
     texts = prompts.filter("prompt_hash is not null").groupBy("prompt_hash").agg(F.min("prompt_text").alias("prompt_text"))
-    columns = ["tab", "row_id", "turn_no", "source", "text", "prompt_hash", "prompt_text"]
-    limits = length_spikes(length_histogram(answers)).filter("unit = 'chars'").select("tab", "source", F.col("length").alias("chars"))
-    joined = answers.filter("prompt_hash is not null").join(texts, "prompt_hash", "left").select(columns)
-    alone = answers.filter("prompt_hash is null").withColumn("prompt_text", F.lit(None).cast("string")).select(columns)
+    columns = ["tab", "row_id", "turn_no", "source", "text", "repaired", "chars", "bytes", "prompt_hash", "prompt_text"]
+    marks = source_marks(answers)
+    sized = with_lengths(answers)
+    joined = sized.filter("prompt_hash is not null").join(texts, "prompt_hash", "left").select(columns)
+    alone = sized.filter("prompt_hash is null").withColumn("prompt_text", F.lit(None).cast("string")).select(columns)
 
     def make():
         at: list = [None, None]
 
-        def row(tab, row_id, turn_no, source, text, prompt_hash, prompt_text):
+        def row(tab, row_id, turn_no, source, text, repaired, chars, length_bytes, prompt_hash, prompt_text):
             if prompt_text is None:
                 prompt = None
             elif at[0] == prompt_hash:
@@ -151,20 +132,20 @@ def defective(answers: DataFrame, prompts: DataFrame) -> DataFrame:
             else:
                 at[:] = prompt_hash, Prompt(prompt_text)
                 prompt = at[1]
-            got = shape(text)
-            found = defect(text, prompt, False, got)
-            if got.fragile:
-                yield tab, row_id, turn_no, source, len(text), found, "truncated"
-            elif found:
-                yield tab, row_id, turn_no, source, 0, found, found
+            got = shape(text, repaired)
+            end = ending(got)
+            other = None if end and end not in UNSURE else defect(text, prompt, got)
+            if end or other:
+                yield tab, row_id, turn_no, source, end, chars, length_bytes, other
 
         return row
 
-    schema = "tab string, row_id long, turn_no long, source string, chars long, off_limit string, at_limit string"
+    schema = "tab string, row_id long, turn_no long, source string, ending string, chars long, bytes long, other string"
     found = map_rows(joined.unionAll(alone), columns, make, schema).alias("f")
-    on = (F.col("f.tab") == F.col("l.tab")) & F.col("f.source").eqNullSafe(F.col("l.source")) & (F.col("f.chars") == F.col("l.chars"))
+    on = (F.col("f.tab") == F.col("l.tab")) & F.col("f.source").eqNullSafe(F.col("l.source"))
+    cut = rule_of(F.col("ending"), F.col("chars"), F.col("bytes")).isNotNull()
     return (
-        found.join(limits.alias("l"), on, "left")
-        .select("f.tab", "row_id", "turn_no", "f.source", F.when(F.col("l.tab").isNull(), F.col("off_limit")).otherwise(F.col("at_limit")).alias("defect"))
+        found.join(marks.alias("l"), on, "left")
+        .select("f.tab", "row_id", "turn_no", "f.source", F.when(cut, "truncated").otherwise(F.col("other")).alias("defect"))
         .filter("defect is not null")
     )

@@ -147,20 +147,27 @@ def p9_segments(spark: SparkSession, path: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_share_by_source, p1_length_spikes, p2_found, p2_classes, p3_found, p3_counts, p5_found, p5_claims, p5_reliability, p5_agreement, p6_found, p7_ids, p8_found, p8_leaks, p8_items, p9_found, p9_cases, p9_segments)}
 
+# The patterns of marks behind a cut and of complete endings, as SQL text.
+MARKED = r"""'(?i)\s?(<cut>|<truncated>|\[\.\.\.\.?\]|\[…\]|\[truncated\]|\(truncated\)|\(cut\)|…|\.\.\.|\x{FFFD})\s*$'"""
+ENDED = r"""'[.!?。！？}\]`]["''”’»)\]}*_」』）`]*\s*$'"""
+
 #: Oracles for the queries that plain SQL can express.
 ORACLES: dict[str, str] = {
-    "p1_length_spikes": """
+    "p1_length_spikes": f"""
         WITH a AS (
             SELECT 'run_artifacts' AS tab, source, raw_output AS text FROM run_artifacts
             UNION ALL SELECT 'pilot_runs', source, unnest(receiver_raw_outputs) FROM pilot_runs),
+        m AS (SELECT *, regexp_matches(right(text, 16), {MARKED}) AS marked FROM a WHERE text IS NOT NULL),
+        c AS (SELECT *, CASE WHEN marked THEN regexp_replace(text, {MARKED}, '') ELSE text END AS core, marked OR NOT regexp_matches(right(text, 16), {ENDED}) AS bare FROM m),
+        d AS (SELECT DISTINCT tab, source, text, length(core) AS chars, strlen(core) AS bytes, bare FROM c),
         h AS (
-            SELECT tab, source, unit, length, count(*) AS n FROM (
-                SELECT tab, source, 'chars' AS unit, length(text) AS length FROM a WHERE text IS NOT NULL
-                UNION ALL SELECT tab, source, 'bytes', strlen(text) FROM a WHERE text IS NOT NULL)
+            SELECT tab, source, unit, length, count(*) AS n, count(*) FILTER (bare) AS n_bare FROM (
+                SELECT tab, source, 'chars' AS unit, chars AS length, bare FROM d UNION ALL SELECT tab, source, 'bytes', bytes, bare FROM d)
             GROUP BY ALL),
         u AS (
-            SELECT *, cast(sum(n) OVER (PARTITION BY tab, source, unit ORDER BY length RANGE BETWEEN 25 PRECEDING AND 25 FOLLOWING) - n AS double) / 50.0::DOUBLE AS usual
-            FROM h)
-        SELECT tab, source, unit, length, n, usual FROM u WHERE length >= 60 AND n >= 8 AND n >= 6.0::DOUBLE * greatest(usual, 0.25::DOUBLE)
+            SELECT *, cast(sum(n_bare) OVER (PARTITION BY tab, source, unit ORDER BY length RANGE BETWEEN 25 PRECEDING AND 25 FOLLOWING) - n_bare AS double) / 50.0::DOUBLE AS usual
+            FROM h),
+        f AS (SELECT *, greatest(usual, 0.02::DOUBLE) AS m FROM u)
+        SELECT tab, source, unit, length, n, n_bare, usual FROM f WHERE n_bare > m AND n_bare * ln(greatest(n_bare, 1) / m) - n_bare + m >= 9.5::DOUBLE
     """,
 }

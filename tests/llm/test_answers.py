@@ -45,19 +45,64 @@ def frame(spark, rows):
     return spark.createDataFrame([("run_artifacts", i, 0, s, t, h, "clash") for i, (s, t, h) in enumerate(rows)], ANSWERS)
 
 
+ENDINGS = [
+    ("- Jane Doe\n-- Jane Doe", "full"), ("Kind regards,\nAlex Doe", "full"), ("Mit freundlichen Grüßen\nKim", "full"), ("x\n***", "full"), ("x\nEnde des Berichts", ""), ("x\nEnd of report", "full"),
+    ("- apples\n- pears", "loose"), ("1. apples\n2. pears", "loose"), ("- It is done.\n- pears", ""), ("x\nSee: https://example.org/a1", "full"), ("x\n[3] Smith, J. Notes", "loose"), ("x\nOwner: the", ""), ("x\n- owner: the", ""),
+    ("x\nNote: x", ""), ("x\nTicket: AB-12", "full"), ("x\nNext step: pending", "loose"), ("x\n- scope: paid", "full"), ("x\nApproved by: Jane,", ""), ("x\nthe lot", ""), ("x\nDone", "full"), ("x\n以上", "full"), ("x\nWhile the lot: was held and then", ""),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), ENDINGS)
+def test_closing_lines(text, want):
+    before, last = text.rsplit("\n", 1)
+    assert answers.closing_line(last, before.rsplit("\n", 1)[-1]) == want
+
+
+def test_repaired_values_show_a_cut():
+    assert answers.shape('{"a": 1,}', True).reason == "json"
+    assert answers.shape('{"a": 1}', True).whole
+
+
+def test_small_and_short_limits_show_by_their_spikes(spark):
+    """A limit of 40 characters, three values at a limit, and repeats of one text, which are none."""
+    rnd = random.Random(5)
+    words = "lot depot clerk seal roster berth crate dock audit label".split()
+    sentence = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    rows = [("forty", (sentence(20))[:40].rstrip().ljust(40, "x"), None) for _ in range(6)] + [("forty", sentence(rnd.randrange(2, 9)) + ".", None) for _ in range(60)]
+    rows += [("three", sentence(99)[:300].rstrip().ljust(300, "x"), None) for _ in range(3)] + [("three", sentence(rnd.randrange(8, 90)) + ".", None) for _ in range(60)]
+    rows += [("copies", "the lot and the depot and the clerk are", None)] * 9 + [("copies", sentence(9) + ".", None)] * 9
+    df = frame(spark, rows)
+    spikes = {(r.source, r.length) for r in truncation.length_spikes(truncation.length_histogram(df)).collect()}
+    assert spikes == {("forty", 40), ("three", 300)}
+    got = {r.row_id: r.rule for r in truncation.truncated(df).collect()}
+    assert got == {**dict.fromkeys([*range(6), *range(66, 69)], "limit"), **dict.fromkeys(range(129, 138), "transfer")}
+
+
+def test_without_punctuation_only_the_histogram_tells(spark):
+    """Chat lines end bare: off the limits their endings prove nothing, at the limit they are cuts."""
+    rnd = random.Random(7)
+    words = "lot depot clerk seal roster berth crate dock audit label".split()
+    line = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    rows = [("chat", line(99)[:160].rstrip().ljust(160, "x"), None) for _ in range(20)] + [("chat", line(rnd.randrange(5, 24)), None) for _ in range(100)]
+    rows += [("chat", "It was {", None), ("chat", "It was <cut>", None)]
+    got = {r.row_id: r.rule for r in truncation.truncated(frame(spark, rows)).collect()}
+    assert {k for k, v in got.items() if v == "limit"} >= set(range(20)) and got[121] == "transfer"
+    assert len(got) <= 24
+
+
 def test_spikes_show_the_limit_and_judge_loose_last_lines(spark):
     rnd = random.Random(3)
     full = "The desk noted the lot. " * 60
-    rows = [("lane", full[:200], None)] * 30 + [("lane", full[: rnd.randrange(80, 190)].rstrip() + ".", None) for _ in range(100)]
+    rows = [("lane", str(1000 + i) + full[:196], None) for i in range(30)] + [("lane", full[: rnd.randrange(80, 190)].rstrip() + ".", None) for _ in range(100)]
     loose = "The desk noted the lot." * 8 + "\nNext step: pending"
     rows += [("lane", loose[-200:].rjust(200, "x"), None), (None, loose, None), ("lane", None, None)]
     df = frame(spark, rows)
     spikes = {(r.source, r.unit, r.length) for r in truncation.length_spikes(truncation.length_histogram(df)).collect()}
     assert spikes == {("lane", "chars", 200), ("lane", "bytes", 200)}
-    got = {r.row_id: r.at_limit for r in truncation.truncated(df).collect()}
-    assert set(got) == {*range(30), 130} and all(got.values())
-    share = {r.source: (r.n_answers, r.n_truncated) for r in truncation.truncation_by_source(df).collect()}
-    assert share == {"lane": (132, 31), None: (1, 0)}
+    got = {r.row_id: r.rule for r in truncation.truncated(df).collect()}
+    assert set(got) == {*range(30), 130} and set(got.values()) == {"limit"}
+    share = {r.source: (r.n_answers, r.n_truncated, r.n_at_limit, r.n_in_transfer) for r in truncation.truncation_by_source(df).collect()}
+    assert share == {"lane": (132, 31, 31, 0), None: (1, 0, 0, 0)}
 
 
 def test_the_jvm_shortcut_agrees_with_the_rule(spark):
@@ -82,7 +127,7 @@ GERMAN = "Die Buchhaltung sperrte die offene Rechnung wegen eines fehlenden Etik
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        (None, "empty"), ("<empty>", "empty"), ("The depot foreman must", "truncated"), ("I'm sorry, but I can't help with this transfer; I hope you understand.", "refusal"),
+        (None, "empty"), ("<empty>", "empty"), ("I'm sorry, but I can't help with this transfer; I hope you understand.", "refusal"),
         ('{"action": null, "message": "I have to decline this request."}', "refusal"), ("> " + PROMPT, "copied_prompt"), (json.dumps({"summary": PROMPT.upper()}), "copied_prompt"),
         (PROMPT.split(": ")[1].split(" Which")[0], "copied_prompt"), (GERMAN, "other_language"), ("Je ne peux pas aider pour cela, mes consignes ne le permettent pas.", "refusal"),
         ("I can't see any blocker on the lot, so the next action is to seal it.", None), ("Unfortunately, the lot was declined, so a new one must be issued.", None),

@@ -5,9 +5,10 @@ language, and the AND of an n-gram's slots is the set of all languages that (see
 is corrected for the filter's false positives; the language with the largest count wins, and the lead over the next one, as a
 share of the segment's n-grams, is the confidence.
 
-The filters are learned from at most SAMPLE labelled texts per language (a documented bound), of which only segments count
-whose function words or script agree with the label, since labels are partly wrong. Function words and scripts are in the
-filters from the start, so that a language without labelled texts is still told. Everything else reads all texts.
+The filters are learned from at most SAMPLE labelled texts per language of at most LONGEST characters (documented bounds), of
+which only segments count whose function words or script agree with the label, since labels are partly wrong. Function words and
+kana are in the filters from the start, so that a language without labelled texts is still told. Every language, also those
+with a script of their own, is decided by its n-grams in the filters. Everything else reads all texts.
 
 Labels are compared without case and region: codes of two and three letters and English or own names. A label that is null,
 blank or names none of these and no other language is missing. Null, empty and language-free texts have no language and give no
@@ -27,11 +28,12 @@ from pyspark.sql import functions as F
 
 from assaylake.functions.arrow import map_rows
 from assaylake.llm.answers import INVISIBLE
-from assaylake.llm.languages import CYRILLIC, KANA, vote
+from assaylake.llm.languages import KANA, vote
 from assaylake.llm.wordlists import STOPWORDS
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "ru", "ja")
-SAMPLE = 250
+#: At most so many labelled texts per language are learned from, none longer than LONGEST (so the sample's size is bounded).
+SAMPLE, LONGEST = 250, 20_000
 SLOTS, HASHES = 1 << 20, 3
 #: A language has an n-gram if its rate is at least this share of the highest rate among the languages.
 RATE = 0.15
@@ -201,22 +203,20 @@ class Judge:
         elif not (found := units(text)):
             return None
         wide = sum(1 for u in found if WIDE.match(u))
-        if wide * 2 >= len(found):
-            kana = len(KANA.findall(text))
-            return ("ja", 1.0, wide >= LEAST_SIGNS) if kana else None
-        if len(CYRILLIC.findall(text)) * 2 > sum(map(len, found)):
-            return "ru", 1.0, len(found) >= LEAST_WORDS
+        if wide * 2 >= len(found) and not KANA.search(text):
+            return None  # signs that Japanese shares with others
         sums = self.counts(found)
         first, second = np.argsort(-sums[:-1], kind="stable")[:2]
         confidence = float((sums[first] - sums[second]) / max(1.0, sums[-1]))
         if sums[first] <= 0 or sums[first] < 0.2 * sums[-1]:
             return None
-        return LANGUAGES[first], confidence, len(found) >= LEAST_WORDS and confidence >= CONFIDENT
+        enough = wide >= LEAST_SIGNS if wide * 2 >= len(found) else len(found) >= LEAST_WORDS
+        return LANGUAGES[first], confidence, enough and confidence >= CONFIDENT
 
 
 def sampled(documents: DataFrame, most: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most `most` labelled texts of each language: those with the smallest hashes of their ids."""
-    named = documents.select(named_language("lang").alias("label"), "doc_id", "text").filter("label is not null and length(text) between 40 and 20000")
+    """At most `most` labelled texts of each language, none longer than LONGEST: those with the smallest hashes of their ids."""
+    named = documents.select(named_language("lang").alias("label"), "doc_id", "text").filter(F.col("label").isNotNull() & (F.length("text") <= LONGEST))
     counts = {r.label: r.n for r in named.groupBy("label").agg(F.count("*").alias("n")).collect()}
     out: list[tuple[str, str]] = []
     picked = None

@@ -69,8 +69,8 @@ def test_leaks_are_found_through_disguises_and_excerpts_are_not(spark):
     df = docs(spark, *[(t, None) for t in texts])
     frame = spark.createDataFrame([*items, (100, None), (101, "too short")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in leaks.leaks(df, frame).collect()}
-    assert got == {(0, 3), (1, 3), (2, 3), (3, 3), (4, 3), (5, 3), (11, 3), (11, 4), (12, 3)}
-    assert {(r.doc_id, r.item_id) for r in leaks.leaks(df, frame, block=7).collect()} == got
+    assert got == {(0, 3), (1, 3), (2, 3), (3, 3), (4, 3), (5, 3), (7, 3), (11, 3), (11, 4), (12, 3)}
+    assert {(r.doc_id, r.item_id) for r in leaks.leaks(df, frame, shard_words=300).collect()} == got
     assert leaks.leaks(df, frame.limit(0)).count() == 0 and leaks.leaks(df.limit(0), frame).count() == 0
 
 
@@ -78,13 +78,61 @@ def test_the_blocks_find_all_prints_within_the_radius():
     import numpy as np
 
     rnd = random.Random(7)
-    index = leaks.ItemIndex([(i, sentence(rnd, 40)) for i in range(20)])
+    index = index_of([sentence(rnd, 40) for _ in range(20)])
     for _ in range(200):
         n = rnd.randrange(len(index.prints))
         print_ = int(index.prints[n])
         for bit in rnd.sample(range(64), leaks.RADIUS):
             print_ ^= 1 << bit
-        assert index.owner[n] in index.near(np.array([print_], np.uint64))
+        assert [index.owner[n], index.place[n], 0] in index.near(np.array([print_], np.uint64)).tolist()
+
+
+def index_of(texts, weight=lambda word: 2.0):
+    import numpy as np
+
+    numbers = leaks.WordNumbers()
+    words = [leaks.plain_words(t) for t in texts]
+    return leaks.ItemIndex([(i, numbers(w), np.array([weight(x) for x in w], np.float32)) for i, w in enumerate(words)], 2.0)
+
+
+@pytest.mark.parametrize(("rate", "least"), [("eighth", 1.0), (0.05, 1.0), (0.1, 0.9)])
+def test_recall_of_items_with_changed_words(rate, least):
+    """Against comparing every alignment, with no fingerprints."""
+    import numpy as np
+
+    rnd, rng = random.Random(11), np.random.default_rng(11)
+    index = index_of([sentence(rnd, 70) for _ in range(120)])
+    filler = leaks.WordNumbers()(sentence(rnd, 200).split())
+    found = true = 0
+    for n, words in enumerate(index.words):
+        changed = words.copy()
+        at = np.arange(7, 70, 8) if rate == "eighth" else np.flatnonzero(rng.random(70) < rate)
+        changed[at] = rng.integers(1, 1 << 63, len(at), dtype=np.uint64)
+        text = np.concatenate([filler, changed, filler])
+        if index.covered(n, text, list(range(-70, len(text)))).mean() >= leaks.SHARE:
+            true += 1
+            found += n in [i for i, _ in index.leaked(text)]
+    assert true > 100 and found >= least * true
+
+
+def test_without_a_near_fingerprint_nothing_is_found(monkeypatch):
+    """The fingerprints carry the result: with a radius below zero even a whole copy is missed, and nearness finds changed light words."""
+    rnd = random.Random(12)
+    texts = [sentence(rnd, 60) for _ in range(5)]
+    index = index_of(texts, lambda word: 1.0 if word.startswith("lot") else 6.0)
+    numbers = leaks.WordNumbers()(texts[2].split())
+    assert [i for i, _ in index.leaked(numbers)] == [2]
+    monkeypatch.setattr(leaks, "RADIUS", -1)
+    assert index.leaked(numbers) == []
+
+
+def test_standing_phrases_with_other_names_are_no_leak():
+    text = "the owner of the {} noted that the {} was held until the {} of the {} had been seen by the {} and the {} was told"
+    heavy = lambda word: 5.0 if word[-1].isdigit() else 1.0
+    fill = lambda k: text.format(*[f"x{k}{n}" for n in range(6)])
+    index = index_of([fill(1) + " " + fill(2)], heavy)
+    assert index.leaked(leaks.WordNumbers()((fill(3) + " " + fill(4)).split())) == []
+    assert [i for i, _ in index.leaked(leaks.WordNumbers()((fill(1) + " " + fill(4)).split()))] == [0]
 
 
 TEXTS = {

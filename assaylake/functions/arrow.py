@@ -10,11 +10,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
-def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., Iterable[tuple]]], schema: str, chunk: int = 4000) -> DataFrame:
+def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., Iterable[tuple]]], schema: str, chunk: int = 4000, weigh: Callable[[tuple], int] | None = None) -> DataFrame:
     """Apply to each row, given as the values of `columns`, a function that yields result rows as tuples.
 
     `make` runs once per task and returns the function, so costly state (automata, tables) is built once per task.
-    Results leave in batches of `chunk` rows, so one long input can't hold a task's memory.
+    Results leave in batches of `chunk` rows, or of rows that weigh 16 million together by `weigh`, also within one input row, so
+    that one long input can't hold a task's memory.
     """
     kind = _parse_datatype_string(schema)
     assert isinstance(kind, StructType)
@@ -31,9 +32,19 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[...,
 
         for batch in batches:
             for values in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
-                out.extend(row(*values))
-                if len(out) >= chunk:
-                    yield flush()
+                if weigh is None:
+                    for result in row(*values):
+                        out.append(result)
+                        if len(out) >= chunk:
+                            yield flush()
+                    continue
+                weight = sum(map(weigh, out))
+                for result in row(*values):
+                    out.append(result)
+                    weight += weigh(result)
+                    if len(out) >= chunk or weight >= 16_000_000:
+                        yield flush()
+                        weight = 0
         yield flush()
 
     return df.select(*columns).mapInArrow(run, kind)

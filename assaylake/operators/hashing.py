@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.functions import deepjson
 from assaylake.functions.arrow import map_rows
 
 
@@ -32,10 +31,10 @@ def dataset_hash(df: DataFrame, by: list[str], *columns: str, digits: int = 2) -
 
 
 def canonical_json(text: str | None) -> str | None:
-    """JSON with sorted keys and no spaces; null for invalid JSON."""
+    """JSON with sorted keys and no spaces, of any depth; null for invalid JSON."""
     try:
-        return None if text is None else json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    except (ValueError, RecursionError):
+        return None if text is None else deepjson.canonical(deepjson.loads(text))
+    except ValueError:
         return None
 
 

@@ -6,7 +6,8 @@ and pivots the labels into columns. Packets are documents whose events hang belo
 and gives the nodes below an event's content their JSON Pointer.
 
 Null, blank and invalid documents give no rows (NaN and Infinity are no JSON). Of a key that repeats in an object the last
-value counts. Very deep documents beyond the parser's limit count as invalid. Node numbers are unique within a document.
+value counts. Documents may be of any depth; the pointers of a deep document are as long as it is deep. Node numbers are unique
+within a document.
 """
 
 from __future__ import annotations
@@ -17,23 +18,20 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.functions import deepjson
 from assaylake.functions.arrow import map_rows
 
 TRACE_KEYS = ("authenticated_upstream_trace", "upstream_trace")
 NODE_COLUMNS = "node long, parent long, label string, ordinal long, kind string, scalar string"
 
 
-def _refuse(name: str) -> None:
-    raise ValueError(name)
-
-
 def parsed(text: str | None) -> tuple[bool, object]:
     """(valid, value) of a JSON text."""
     if text is None or not text.strip():
         return False, None
     try:
-        return True, json.loads(text, parse_constant=_refuse)
-    except (ValueError, RecursionError):
+        return True, deepjson.loads(text)
+    except ValueError:
         return False, None
 
 
@@ -73,6 +71,10 @@ def walk(value: object, first: int = 0, parent: int | None = None, label: str |
             stack.extend((v, here, None, n, f"{path}/{n}") for n, v in reversed(list(enumerate(value))))
 
 
+def path_weight(row: tuple) -> int:
+    return len(row[-1] or "")
+
+
 def shred(documents: DataFrame, key: str, document: str) -> DataFrame:
     """The adjacency table of a JSON column: key, node, parent, label, ordinal, kind, scalar, path (JSON Pointer)."""
 
@@ -86,7 +88,7 @@ def shred(documents: DataFrame, key: str, document: str) -> DataFrame:
         return row
 
     kind = dict(documents.select(key).dtypes)[key]
-    return map_rows(documents, [key, document], make, f"{key} {kind}, {NODE_COLUMNS}, path string")
+    return map_rows(documents, [key, document], make, f"{key} {kind}, {NODE_COLUMNS}, path string", weigh=path_weight)
 
 
 def entities(nodes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -144,7 +146,7 @@ def packet_nodes(packets: DataFrame, key: str = "packet_id", document: str = "pa
         return row
 
     kind = dict(packets.select(key).dtypes)[key]
-    return map_rows(packets, [key, document], make, f"{key} {kind}, event_no long, {NODE_COLUMNS}, node_path string")
+    return map_rows(packets, [key, document], make, f"{key} {kind}, event_no long, {NODE_COLUMNS}, node_path string", weigh=path_weight)
 
 
 EVENT_COLUMNS = ["trace_id", "source_type", "tool", "success"]

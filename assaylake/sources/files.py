@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,13 +31,18 @@ def unexpected_keys(spark: SparkSession, path: str, allowed: list[str]) -> DataF
 
 
 def read_run_tree(spark: SparkSession, folders: list[str], schema: StructType | str, keys: list[str], conflicts: str = "keep") -> DataFrame:
-    """Run records below folders, at any depth; paths with a part `dev` or with `invalid_protocol` are left out.
+    """Run records below folders, at any depth. A folder whose path has a part `dev`, or `invalid_protocol` in a part, is refused.
 
+    The case of such a part doesn't matter; the refusal is a ValueError before anything is read, so no file drops out in silence.
     conflicts 'keep': identical repeats collapse, records that differ under one key fail. 'fail': any repeat of a key fails.
     The failure comes when the frame is evaluated, with the key in its message.
     """
+    for folder in folders:
+        whole = folder if re.match(r"\w+:/", folder) else str(Path(folder).resolve())
+        if any(part == "dev" or "invalid_protocol" in part for part in whole.lower().split("/")):
+            raise ValueError(f"not a folder of valid runs: {whole}")
     runs = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(folders)
-    runs = runs.withColumn("path", F.col("_metadata.file_path")).filter(~F.col("path").rlike(r"/dev/|invalid_protocol"))
+    runs = runs.withColumn("path", F.col("_metadata.file_path"))
     columns = [c for c in runs.columns if c != "path"]
     grouped = runs.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in columns if c not in keys], "path"), "path").alias("r"), F.count("*").alias("n"), F.count_distinct(F.to_json(F.struct(*columns))).alias("kinds"))
     bad = F.col("kinds") > 1 if conflicts == "keep" else F.col("n") > 1

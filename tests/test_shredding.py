@@ -1,10 +1,13 @@
 import json
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from assaylake.functions import deepjson
 from assaylake.operators import shredding
+from assaylake.operators.shredding import packet_nodes, parsed
 
 SCHEMA = "packet_id long, packet_json string, node string, label string"  # with columns that clash by name
 
@@ -99,3 +102,31 @@ def test_conditions_paths_and_deep_search(spark):
     assert [tuple(r) for r in docs.select(exists, value).collect()] == [(True, "null"), (False, None), (False, None), (False, None), (True, "v")]
     nodes = shredding.shred(docs, "id", "j")
     assert [(r.id, r.n_hits) for r in predicates.containing(nodes, ["id"], "v", labels=True).collect()] == [(5, 2)]
+
+
+@pytest.mark.parametrize("depth", [100, 100_000])
+def test_documents_of_any_depth(depth):
+    text = '{"a": [' * (depth // 2) + '{"b": 1.5, "a": ["x", null, {}, []]}' + "]}" * (depth // 2)
+    valid, value = parsed(text)
+    assert valid and deepjson.strings_in(value) == ["x"]
+    assert deepjson.canonical(value) == text.replace(" ", "").replace('"b":1.5,"a":["x",null,{},[]]', '"a":["x",null,{},[]],"b":1.5')
+    assert not parsed(text[:-1])[0] and not parsed(text + "]")[0]
+
+
+def test_deep_packets_keep_all_nodes(spark):
+    depth = 20_000
+    text = '{"upstream_trace": {"trace_id": "t", "content": ' + "[" * depth + "7" + "]" * depth + "}}"
+    nodes = packet_nodes(spark.createDataFrame([(1, text), (2, "[" * depth)], "packet_id long, packet_json string")).filter("node_path is not null")
+    got = nodes.selectExpr("count(*) n", "max(length(node_path)) longest", "count(distinct packet_id) p").first()
+    assert (got.n, got.longest, got.p) == (depth, 2 * depth, 1)
+
+
+@pytest.mark.parametrize("text", ["1", "-0.5e3", '"a\\u00e9"', "true", "[]", "{}", '{"a":{"b":[1,2,{"c":null}]},"a":3}', "[1,]", "{1:2}", "nul", "NaN", "[1 2]", '{"a" 1}', "01", "", "[", '"a'])
+def test_the_loop_parses_as_the_standard_parser_does(text):
+    try:
+        want = json.loads(text, parse_constant=lambda _: 1 / 0)
+    except (ValueError, ZeroDivisionError):
+        with pytest.raises(ValueError):
+            assert deepjson.deep_value(text)[1] == len(text) or deepjson.loads("]")
+    else:
+        assert deepjson.deep_value(text) == (want, len(text)) and "".join(deepjson._pieces(want)) == deepjson.canonical(want)

@@ -17,7 +17,9 @@ def test_run_trees_collapse_repeats_and_refuse_conflicts(spark, tmp_path):
     schema = "task_id string, seed int, status string"
     put(tmp_path / "a/x.json", {"task_id": "t", "seed": 1, "status": "ok"})
     put(tmp_path / "b/c/y.json", [{"task_id": "t", "seed": 1, "status": "ok"}, {"task_id": "u", "seed": 1, "status": "ok"}])
-    put(tmp_path / "dev/z.json", {"task_id": "v", "seed": 1, "status": "ok"})
+    for name in ("DEV", "x_Invalid_Protocol_1"):
+        with pytest.raises(ValueError, match="not a folder of valid runs"):
+            files.read_run_tree(spark, [str(tmp_path), str(tmp_path / name)], schema, ["task_id", "seed"])
     read = lambda how: files.read_run_tree(spark, [str(tmp_path)], schema, ["task_id", "seed"], how)
     assert sorted(r.task_id for r in read("keep").collect()) == ["t", "u"]
     with pytest.raises(Exception, match="conflicting records"):

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaylake.functions import deepjson
 from assaylake.llm.wordlists import PLACEHOLDERS, STOPWORDS
 
 # Characters that show nothing.
@@ -131,11 +132,16 @@ def open_delimiters(text: str) -> tuple[list[str], bool]:
 
 def hollow(value: object) -> bool:
     """Whether a JSON value is nothing but empty structure."""
-    if isinstance(value, dict):
-        return all(map(hollow, value.values()))
-    if isinstance(value, list):
-        return all(map(hollow, value))
-    return value is None or value == "" or (isinstance(value, str) and not visible(value))
+    stack = [value]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, dict):
+            stack.extend(x.values())
+        elif isinstance(x, list):
+            stack.extend(x)
+        elif x is not None and not (isinstance(x, str) and not visible(x)):
+            return False
+    return True
 
 
 def shape(text: str | None, repaired: bool = False) -> Shape:
@@ -155,10 +161,10 @@ def shape(text: str | None, repaired: bool = False) -> Shape:
             start += 1
     if 0 <= start < len(body) and body[start] in "{[" and re.match(r"[{\[]\s*(?:[\"{\[\]}\d\-tfn]|$|\W*$)", body[start:]):
         try:
-            value, _ = _DECODER.raw_decode(body, start)
-        except RecursionError:
-            stack, inside = open_delimiters(body[start:])
-            return Shape("json", not (stack or inside), reason="json" if stack or inside else "", value=body)
+            try:
+                value, _ = _DECODER.raw_decode(body, start)
+            except RecursionError:
+                value, _ = deepjson.deep_value(body, start)
         except ValueError:
             stack, inside = open_delimiters(body[start:])
             if stack or inside or repaired:

@@ -17,7 +17,6 @@ rows. Repeated rows are each judged.
 
 from __future__ import annotations
 
-import json
 import re
 from collections import Counter, defaultdict
 
@@ -26,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.functions import deepjson
 from assaylake.functions.arrow import map_rows
 from assaylake.llm.answers import INVISIBLE
 from assaylake.llm.languages import KANA, vote
@@ -75,19 +75,9 @@ def strings_in(text: str) -> list[str]:
     bare = text.strip()
     if bare[:1] in ("{", "["):
         try:
-            value = json.loads(bare, strict=False)
-        except (ValueError, RecursionError):
+            return deepjson.strings_in(deepjson.loads(bare, strict=False))
+        except ValueError:
             return [text]
-        found, stack = [], [value]
-        while stack:
-            x = stack.pop()
-            if isinstance(x, str):
-                found.append(x)
-            elif isinstance(x, dict):
-                stack.extend(reversed(x.values()))
-            elif isinstance(x, list):
-                stack.extend(reversed(x))
-        return found
     return [text]
 
 

@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.functions import deepjson
 from assaylake.functions.arrow import map_rows
 from assaylake.llm.answers import CLOSERS, CUT_MARK, TERMINAL, Shape, closing_line, shape, visible
 from assaylake.llm.languages import vote
@@ -29,18 +30,6 @@ UNSURE = ("loose", "sentence")
 TOKENS = re.compile(r"[^\W_]+")
 
 
-def strings_of(value: object, into: list[str]) -> list[str]:
-    if isinstance(value, str):
-        into.append(value)
-    elif isinstance(value, dict):
-        for x in value.values():
-            strings_of(x, into)
-    elif isinstance(value, list):
-        for x in value:
-            strings_of(x, into)
-    return into
-
-
 def bare_prose(body: str) -> str:
     """Prose without code blocks and closing lines, whose words have no language."""
     body = re.sub(r"```.*?(?:```|$)", " ", body, flags=re.S)
@@ -74,7 +63,7 @@ def defect(text: str | None, prompt: Prompt | None, known: Shape | None = None)
     if got.kind == "blank":
         return "empty"
     if got.kind == "json":
-        strings = [s for s in strings_of(got.value, []) if len(s) >= 20]
+        strings = [s for s in deepjson.strings_in(got.value) if len(s) >= 20]
         if not strings:
             return None
         body = "\n".join(strings)
@@ -103,7 +92,7 @@ def defect(text: str | None, prompt: Prompt | None, known: Shape | None = None)
 
 def json_words(value: object) -> int:
     """Words of all string values of a JSON answer, so that a copy beside other content isn't nothing but a copy."""
-    return sum(len(TOKENS.findall(s)) for s in strings_of(value, []))
+    return sum(len(TOKENS.findall(s)) for s in deepjson.strings_in(value))
 
 
 def defective(answers: DataFrame, prompts: DataFrame) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import re
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 
+from assaylake.functions import deepjson
 from assaylake.functions.arrow import map_rows
 
 TOKEN = re.compile(r"\w+")
@@ -19,22 +19,11 @@ LEAST_WORDS = 8
 def trace_text(contents: list[str | None] | None) -> str:
     """The string values of the contents in order, without keys. A content that is no JSON counts as it stands."""
     out: list[str] = []
-
-    def walk(value: object) -> None:
-        if isinstance(value, str):
-            out.append(value)
-        elif isinstance(value, dict):
-            for x in value.values():
-                walk(x)
-        elif isinstance(value, list):
-            for x in value:
-                walk(x)
-
     for content in contents or ():
         if content:
             try:
-                walk(json.loads(content))
-            except (ValueError, RecursionError):
+                out += deepjson.strings_in(deepjson.loads(content))
+            except ValueError:
                 out.append(content)
     return "\n".join(out)
 

@@ -156,3 +156,10 @@ def test_tables_are_read_with_null_lists_and_extra_columns(spark, tmp_path):
     assert truncation.truncated(none).count() == 0 and truncation.truncation_by_source(none).count() == 0
     assert pairs.defective(none, spark.createDataFrame([], "prompt_hash string, prompt_text string")).count() == 0
     assert answers.read_answers(spark, str(tmp_path)).filter(F.col("tab") == "x").count() == 0
+
+
+def test_deep_answers_are_json_like_any_other():
+    deep = '{"a": [' * 50_000 + '"the lot is sealed"' + "]}" * 50_000
+    assert answers.shape(deep).kind == "json" and answers.shape(deep).whole and not answers.shape(deep[:-1]).whole
+    assert answers.shape("[" * 60_000 + "]" * 60_000).kind == "blank"
+    assert pairs.defect(deep, pairs.Prompt(PROMPT)) is None

@@ -1,16 +1,24 @@
 """Intervals and tests whose inputs are aggregated in one pass and whose draws are reproducible from a seed.
 
-Resampling uses the MD5 of (seed, draw, place) as its source of picks, so any engine gives the same draws; only sufficient
-statistics per cluster (sum and count) are resampled, never rows.
+Resampling uses the MD5 of (seed, draw, block of places) as its source of picks, so any engine gives the same draws; only
+sufficient statistics per cluster (sum and count) are resampled, never rows. The clusters' statistics of a group go as one array
+to tasks that each make a range of draws: picks are neither joined nor shuffled, and nothing is sorted but a group's draws.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylake.functions.arrow import map_rows
 from assaylake.functions.columns import log_factorial
 
+#: Draws of one row that goes to a task; clusters up to which sign flips are enumerated.
+DRAWS_A_ROW, ENUMERATED = 250, 18
+
 
 def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Bounds of Wilson's interval of a rate; null where n is 0."""
@@ -74,42 +82,81 @@ def poisson_binomial_tail(probabilities: Column, observed: Column) -> Column:
     return F.aggregate(F.slice(spread, observed.cast("int") + 1, F.size(spread)), F.lit(0.0), lambda a, x: a + x)
 
 
-def _unit(*parts: Column) -> Column:
-    """A number in [0, 1) from the first 32 bits of an MD5."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+def _digests(seed: int, draw: int, blocks: int) -> bytes:
+    return b"".join(hashlib.md5(b"%d:%d:%d" % (seed, draw, block)).digest() for block in range(blocks))
 
 
-def _clusters(rows: DataFrame, cluster: str, y: str, by: list[str]) -> DataFrame:
-    sums = rows.filter(F.col(y).isNotNull()).groupBy(*by, cluster).agg(F.sum(F.col(y).cast("double")).alias("y"), F.count("*").alias("n"))
-    return sums.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(cluster)) - 1).withColumn("clusters", F.count("*").over(Window.partitionBy(*by)))
+def picks(seed: int, draw: int, clusters: int) -> np.ndarray:
+    """The clusters of a draw: the digest of (seed, draw, i // 4) has four numbers of 32 bits, for the places i."""
+    units = np.frombuffer(_digests(seed, draw, -(-clusters // 4)), ">u4")[:clusters]
+    return np.floor(units / 4294967296.0 * clusters).astype(np.int64)
+
+
+def signs(seed: int, draw: int, clusters: int) -> np.ndarray:
+    """-1 or 1 per cluster: the bits of the digests of (seed, draw, i // 128), the highest first; 1 for a set bit."""
+    bits = np.unpackbits(np.frombuffer(_digests(seed, draw, -(-clusters // 128)), np.uint8))[:clusters]
+    return bits * 2.0 - 1.0
+
 
+def _in_ranges(df: DataFrame, draws: int) -> DataFrame:
+    """Every row once per range of draws, spread over the tasks."""
+    starts = F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(DRAWS_A_ROW))).alias("start")
+    out = df.select("*", starts)
+    return out.repartition(max(1, min(-(-draws // DRAWS_A_ROW), out.sparkSession.sparkContext.defaultParallelism * 4)), "start")
 
-def cluster_bootstrap(rows: DataFrame, cluster: str, y: str, by: list[str], draws: int = 500, seed: int = 2027) -> DataFrame:
+
+def cluster_bootstrap(rows: DataFrame, cluster: str, y: str, by: list[str], draws: int = 10_000, seed: int = 2027) -> DataFrame:
     """by, n_clusters, mean, ci_low, ci_high: percentile interval of the pooled mean over resampled clusters.
 
-    The bounds are the draws at the indices int(.025 d) and max(0, int(.975 d) - 1), not interpolated.
+    The bounds are the draws at the indices int(.025 d) and max(0, int(.975 d) - 1), not interpolated. A group's clusters (two
+    numbers each) are one array.
     """
-    stats = _clusters(rows, cluster, y, by)
-    picks = stats.select(*by, "place", "clusters", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    picks = picks.select(*by, "draw", F.floor(_unit(F.lit(seed), F.col("draw"), F.col("place")) * F.col("clusters")).cast("int").alias("place"))
-    drawn = picks.join(stats.select(*by, "place", "y", "n"), [*by, "place"]).groupBy(*by, "draw").agg((F.sum("y") / F.sum("n")).alias("value"))
-    ranked = drawn.withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy("value", "draw")) - 1)
+    sums = rows.filter(F.col(y).isNotNull()).groupBy(*by, cluster).agg(F.sum(F.col(y).cast("double")).alias("y"), F.count("*").alias("n"))
+    listed = F.sort_array(F.collect_list(F.struct(F.col(cluster).alias("c"), "y", F.col("n").cast("double").alias("n"))))
+    groups = sums.groupBy(*by).agg(F.count("*").alias("n_clusters"), (F.sum("y") / F.sum("n")).alias("mean"), listed.alias("x"))
+    groups = groups.select(F.struct(*by, F.lit(0).alias("_")).alias("g"), "n_clusters", "mean", F.col("x.y").alias("ys"), F.col("x.n").alias("ns"))
+
+    def make():
+        def row(g, n_clusters, mean, ys, ns, start):
+            ys, ns = np.asarray(ys), np.asarray(ns)
+            values = []
+            for draw in range(start, min(start + DRAWS_A_ROW, draws)):
+                at = picks(seed, draw, len(ys))
+                values.append(float(ys[at].sum() / ns[at].sum()))
+            yield g, n_clusters, mean, values
+
+        return row
+
+    kind = dict(groups.dtypes)["g"]
+    drawn = map_rows(_in_ranges(groups, draws), ["g", "n_clusters", "mean", "ys", "ns", "start"], make, f"g {kind}, n_clusters long, mean double, drawn array<double>")
+    ranked = F.sort_array(F.flatten(F.collect_list("drawn")))
+    out = drawn.groupBy("g").agg(F.first("n_clusters").alias("n_clusters"), F.first("mean").alias("mean"), ranked.alias("v"))
     low, high = int(0.025 * draws), max(0, int(0.975 * draws) - 1)
-    bounds = ranked.groupBy(*by).agg(F.max(F.when(F.col("at") == low, F.col("value"))).alias("ci_low"), F.max(F.when(F.col("at") == high, F.col("value"))).alias("ci_high"))
-    means = stats.groupBy(*by).agg(F.count("*").alias("n_clusters"), (F.sum("y") / F.sum("n")).alias("mean"))
-    return means.join(bounds, by) if by else means.crossJoin(bounds)
+    return out.select(*[F.col(f"g.{c}").alias(c) for c in by], "n_clusters", "mean", F.element_at("v", low + 1).alias("ci_low"), F.element_at("v", high + 1).alias("ci_high"))
+
 
+def sign_flip(effects: DataFrame, cluster: str, y: str, draws: int = 20_000, seed: int = 2027, enumerated: int = ENUMERATED) -> DataFrame:
+    """n_clusters, observed mean, p of the two-sided sign-flip test over cluster means: (1 + extremes) / (1 + flips).
 
-def sign_flip(effects: DataFrame, cluster: str, y: str, draws: int = 500, seed: int = 2027) -> DataFrame:
-    """n_clusters, observed mean, p of the two-sided sign-flip test over cluster means: (1 + extremes) / (1 + draws)."""
+    Up to `enumerated` clusters all 2^n flips are made, beyond that `draws` of them. No cluster: a row of 0, null, null.
+    """
     means = effects.filter(F.col(y).isNotNull()).groupBy(cluster).agg(F.avg(F.col(y).cast("double")).alias("y"))
-    placed = means.withColumn("place", F.row_number().over(Window.orderBy(cluster)) - 1)
-    flips = placed.select("place", "y", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    sign = F.when(_unit(F.lit(seed), F.col("draw"), F.col("place")) < 0.5, F.lit(-1.0)).otherwise(F.lit(1.0))
-    drawn = flips.groupBy("draw").agg(F.avg(F.round(sign * F.col("y"), 10)).alias("value"))
-    observed = means.agg(F.count("*").alias("n_clusters"), F.avg(F.round("y", 10)).alias("observed"))
-    return (
-        drawn.join(F.broadcast(observed))
-        .groupBy("n_clusters", "observed")
-        .agg(((F.sum((F.abs("value") >= F.abs("observed") - 1e-9).cast("long")) + 1) / (F.count("*") + 1)).alias("p_value"))
-    )
+    one = means.agg(F.count("*").alias("n_clusters"), F.avg("y").alias("observed"), F.sort_array(F.collect_list(F.struct(F.col(cluster).alias("c"), "y"))).alias("x"))
+    flips = F.when(F.col("n_clusters") <= enumerated, F.expr("shiftleft(1, cast(least(n_clusters, 30) as int))")).otherwise(F.lit(draws))
+    wide = one.select("n_clusters", "observed", F.col("x.y").alias("ys"), flips.alias("flips"))
+    ranges = wide.select("*", F.explode(F.sequence(F.lit(0), F.col("flips") - 1, F.lit(DRAWS_A_ROW * 16))).alias("start")).repartition(8, "start")
+
+    def make():
+        def row(n_clusters, observed, ys, flips, start):
+            ys, extreme = np.asarray(ys, np.float64), 0
+            bits = np.arange(n_clusters)
+            for draw in range(start, min(start + DRAWS_A_ROW * 16, flips)):
+                sign = (draw >> bits & 1) * 2.0 - 1.0 if n_clusters <= enumerated else signs(seed, draw, n_clusters)
+                extreme += n_clusters > 0 and abs(float((sign * ys).mean())) >= abs(observed) - 1e-12
+            yield n_clusters, observed, flips, extreme
+
+        return row
+
+    counted = map_rows(ranges, ["n_clusters", "observed", "ys", "flips", "start"], make, "n_clusters long, observed double, flips long, extreme long")
+    p = F.when(F.col("n_clusters") > 0, (F.sum("extreme") + 1) / (F.first("flips") + 1))
+    return counted.groupBy("n_clusters", "observed").agg(p.alias("p_value"))

@@ -9,7 +9,7 @@ from assaylake.operators import constraints, design, inference
 from assaylake.session import materialize
 
 
-def confirmatory(spark: SparkSession, runs: DataFrame, structured: str, oracle: str, draws: int = 500) -> dict[str, DataFrame]:
+def confirmatory(spark: SparkSession, runs: DataFrame, structured: str, oracle: str, draws: int = 10_000) -> dict[str, DataFrame]:
     """gates, rates, contrasts, intervals, tests. The metrics are computed once and written to the shared folder."""
     metrics = materialize(design.run_metrics(runs, "task_id", "model", "seed", "method", "status"), "run-metrics")
     rates = design.rollup_rates(metrics, "method", "model", "strict_success")

@@ -22,7 +22,6 @@ RUNS_SQL = """
         cast(coalesce(metrics.input_tokens, list_sum(list_transform(usage, lambda u: coalesce(u.prompt_tokens, 0))), 0) AS bigint) AS input_tokens,
         cast(coalesce(metrics.output_tokens, list_sum(list_transform(usage, lambda u: coalesce(u.completion_tokens, 0))), 0) AS bigint) AS output_tokens
     FROM pilot_runs"""
-MD5_UNIT = "cast(concat('0x', substr(md5(concat_ws(':', {})), 1, 8)) AS bigint) / 4294967296.0::DOUBLE"
 WILSON_SQL = """round((s / n + 1.96::DOUBLE * 1.96 / (2 * n) {sign} 1.96::DOUBLE * sqrt(s / n * (1 - s / n) / n + 1.96::DOUBLE * 1.96 / (4.0::DOUBLE * n * n))) / (1 + 1.96::DOUBLE * 1.96 / n), 8)"""
 
 
@@ -121,13 +120,13 @@ def oracle_attach_regret(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cluster_bootstrap_mean(spark: SparkSession, path: str) -> DataFrame:
-    out = inference.cluster_bootstrap(_runs(spark, path), "task_id", "strict_success", ["method"], draws=200)
+    out = inference.cluster_bootstrap(_runs(spark, path), "task_id", "strict_success", ["method"])
     return out.select("method", "n_clusters", *[rounded(F.col(c)).alias(c) for c in ("mean", "ci_low", "ci_high")])
 
 
 def signflip_p(spark: SparkSession, path: str) -> DataFrame:
     pairs = design.paired(_runs(spark, path), ["task_id", "seed"], "method", STRUCTURED, ORACLE, "strict_success")
-    out = inference.sign_flip(pairs, "task_id", "difference", draws=400)
+    out = inference.sign_flip(pairs, "task_id", "difference")
     return out.select("n_clusters", rounded("observed").alias("observed"), rounded("p_value").alias("p_value"))
 
 
@@ -254,17 +253,19 @@ ORACLES: dict[str, str] = {
     "cluster_bootstrap_mean": f"""
         WITH r AS ({RUNS_SQL}), s AS (SELECT method, task_id, sum(strict_success)::DOUBLE AS y, count(*) AS n FROM r GROUP BY 1, 2),
         p AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY task_id) - 1 AS place, count(*) OVER (PARTITION BY method) AS clusters FROM s),
-        k AS (SELECT method, d AS draw, cast(floor({MD5_UNIT.format('2027, d, place')} * clusters) AS bigint) AS place FROM p, range(200) AS g(d)),
+        h AS (SELECT d, b, md5(concat_ws(':', 2027, d, b)) AS h FROM range(10000) AS g(d), range((SELECT cast(max(clusters) AS bigint) // 4 + 1 FROM p)) AS q(b)),
+        k AS (SELECT method, d AS draw, cast(floor(cast(concat('0x', substr(h, 1 + 8 * (place % 4), 8)) AS bigint) / 4294967296.0::DOUBLE * clusters) AS bigint) AS place FROM p JOIN h ON b = place // 4),
         v AS (SELECT k.method, draw, sum(y) / sum(n)::DOUBLE AS value FROM k JOIN p ON p.method = k.method AND p.place = k.place GROUP BY 1, 2),
         q AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY value, draw) - 1 AS rk FROM v),
-        b AS (SELECT method, max(CASE WHEN rk = 5 THEN value END) AS ci_low, max(CASE WHEN rk = 194 THEN value END) AS ci_high FROM q GROUP BY 1),
+        b AS (SELECT method, max(CASE WHEN rk = 250 THEN value END) AS ci_low, max(CASE WHEN rk = 9749 THEN value END) AS ci_high FROM q GROUP BY 1),
         m AS (SELECT method, count(*) AS n_clusters, sum(y) / sum(n)::DOUBLE AS mean FROM s GROUP BY 1)
         SELECT method, n_clusters, round(mean, 8) AS mean, round(ci_low, 8) AS ci_low, round(ci_high, 8) AS ci_high FROM m JOIN b USING (method)""",
     "signflip_p": f"""
         WITH {_PAIRS_SQL.format(unit='task_id, seed', where='')}, m AS (SELECT task_id, avg(difference) AS y FROM pr GROUP BY 1),
-        p AS (SELECT *, row_number() OVER (ORDER BY task_id) - 1 AS place FROM m), o AS (SELECT count(*) AS n_clusters, avg(round(y, 10)) AS observed FROM m),
-        v AS (SELECT d, avg(round(CASE WHEN {MD5_UNIT.format('2027, d, place')} < 0.5 THEN -1.0 ELSE 1.0 END::DOUBLE * y, 10)) AS value FROM p, range(400) AS g(d) GROUP BY 1)
-        SELECT n_clusters, round(observed, 8) AS observed, round((sum(cast(abs(value) >= abs(observed) - 1e-9 AS int)) + 1)::DOUBLE / (count(*) + 1), 8) AS p_value FROM v, o GROUP BY n_clusters, observed""",
+        p AS (SELECT *, row_number() OVER (ORDER BY task_id) - 1 AS place FROM m), o AS (SELECT count(*) AS n_clusters, avg(y) AS observed FROM m),
+        h AS (SELECT d, b, md5(concat_ws(':', 2027, d, b)) AS h FROM range(20000) AS g(d), range((SELECT count(*) // 128 + 1 FROM p)) AS q(b)),
+        v AS (SELECT d, avg(((instr('0123456789abcdef', substr(h, cast(1 + (place % 128) // 4 AS int), 1)) - 1) >> cast(3 - place % 4 AS int) & 1) * 2 * y - y) AS value FROM p JOIN h ON b = place // 128 GROUP BY 1)
+        SELECT n_clusters, round(observed, 8) AS observed, round((sum(cast(abs(value) >= abs(observed) - 1e-12 AS int)) + 1)::DOUBLE / (count(*) + 1), 8) AS p_value FROM v, o GROUP BY n_clusters, observed""",
     "mcnemar_exact": f"WITH {_MCNEMAR_SQL} SELECT * FROM t",
     "holm_adjust": f"""
         WITH {_MCNEMAR_SQL}, s AS (SELECT method, p_value AS p, least(1.0::DOUBLE, (count(*) OVER () - row_number() OVER (ORDER BY p_value, method) + 1) * p_value) AS step FROM t)

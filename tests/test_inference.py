@@ -58,3 +58,30 @@ def test_sign_flip_is_small_for_one_sided_effects(spark):
     assert inference.sign_flip(one_sided, "c", "y", 200).first().p_value < 0.05
     even = spark.createDataFrame([(f"c{i}", 1.0 if i % 2 else -1.0) for i in range(12)], "c string, y double")
     assert inference.sign_flip(even, "c", "y", 200).first().p_value == 1
+
+
+def test_sign_flips_are_enumerated_for_few_clusters(spark):
+    from itertools import product
+
+    values = [0.5, -0.25, 0.75, 0.5, 0.1, 0.3, -0.05]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "c int, y double")
+    flips = [abs(sum(v * s for v, s in zip(values, signs, strict=True)) / 7) for signs in product((-1, 1), repeat=7)]
+    want = (1 + sum(f >= abs(sum(values) / 7) - 1e-12 for f in flips)) / (len(flips) + 1)
+    got = inference.sign_flip(df, "c", "y").first()
+    assert got.p_value == want and got.n_clusters == 7
+    assert abs(inference.sign_flip(df, "c", "y", 20_000, enumerated=3).first().p_value - want) < 0.02
+    none = inference.sign_flip(df.limit(0), "c", "y").first()
+    assert (none.n_clusters, none.observed, none.p_value) == (0, None, None)
+
+
+def test_power_of_published_cells_and_of_any_partitioning(spark):
+    from assaylake.operators.simulation import power_grid
+
+    grid = lambda: {(r.n_families, r.effect): r for r in power_grid(spark, (120, 200), (0.1,), (0.08, 0.1), replications=600).collect()}
+    got = grid()
+    for cell, power in {(200, 0.08): 0.691, (200, 0.1): 0.847, (120, 0.08): 0.441, (120, 0.1): 0.633}.items():
+        assert abs(got[cell].power - power) < 0.06, (cell, got[cell].power)
+    assert all(abs(r.estimated_effect - e) < 0.01 for (_, e), r in got.items())
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    assert grid() == got
+    spark.conf.set("spark.sql.shuffle.partitions", "4")

@@ -36,6 +36,16 @@ def in_domain(df: DataFrame, rule_id: str, key: str, column: str, allowed: list)
     return holds(df, rule_id, key, F.col(column).isin(*allowed), F.col(column))
 
 
+def row_rules(df: DataFrame, key: str, rules: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Rows that break any of the rules {rule_id: (condition, detail)}, one row per rule broken, in one scan of df.
+
+    A condition that is null counts as broken.
+    """
+    broken = [F.when(~F.coalesce(ok, F.lit(False)), F.struct(F.lit(name).alias("rule_id"), detail.cast("string").alias("detail"))) for name, (ok, detail) in rules.items()]
+    found = df.select(F.col(key).cast("string").alias("key"), F.inline(F.array_compact(F.array(*broken))))
+    return found.select("rule_id", "key", "detail")
+
+
 def foreign_key(df: DataFrame, rule_id: str, key: str, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """Non-null references without a parent: an anti-join."""
     known = parent.select(F.col(parent_column).alias(column)).distinct()

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assaylake.queries import analysis, corpora, packets
+from assaylake.queries import analysis, corpora, packets, scores
 
-_MODULES = (analysis, corpora, packets)
+_MODULES = (analysis, corpora, packets, scores)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
 

@@ -18,6 +18,7 @@ key that repeats in one submission the first claim counts. Items with fewer than
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -153,21 +154,22 @@ class Consensus:
             raise ValueError(f"more than {MOST_ANNOTATORS} annotators")
         classes = [sorted(r[0] for r in labels.select(f).distinct().collect()) for f in FIELDS]
         index = lambda values, column: F.coalesce(*[F.array_position(F.array(*map(F.lit, values)), F.col(column)).cast("int") - 1]) if values else F.lit(0)
-        numbered = labels.select("task_id", "claim_key", index(self.annotators, "annotator").alias("who"), *[index(c, f).alias(f) for f, c in zip(FIELDS, classes, strict=True)])
+        names = self.spark.createDataFrame([(a, n) for n, a in enumerate(self.annotators)], "annotator string, who int")
+        numbered = labels.join(names, "annotator").select("task_id", "claim_key", "who", *[index(c, f).alias(f) for f, c in zip(FIELDS, classes, strict=True)])
         listed = numbered.groupBy("task_id", "claim_key").agg(F.sort_array(F.collect_list(F.struct("who", *FIELDS))).alias("x"))
         self.items = materialize(listed.select("task_id", "claim_key", *[F.col(f"x.{c}").alias(c) for c in ("who", *FIELDS)]), "claim-items")
         self.models = [Model.first(c, len(self.annotators)) for c in classes]
         self.cluster = np.arange(len(self.annotators))
         for n in range(passes if self.annotators else 0):
-            sums, shared = self._pass(n in (4, 9))
+            copies = self._copies() if n in (4, 9) else None
+            sums = self._pass()
             for i, model in enumerate(self.models):
                 model.step({k.split(":")[1]: v for k, v in sums.items() if k.startswith(f"{i}:")})
-            if shared is not None:
-                self.cluster = self._clusters(*shared)
+            if copies is not None:
+                self.cluster = self._clusters(copies)
 
-    def _pass(self, with_copies: bool) -> tuple[dict[str, np.ndarray], tuple | None]:
+    def _pass(self) -> dict[str, np.ndarray]:
         state = self.spark.sparkContext.broadcast((self.models, self.cluster))
-        annotators = len(self.annotators)
 
         def run(batches):
             models, cluster = state.value
@@ -177,16 +179,10 @@ class Consensus:
                 if not len(item):
                     continue
                 weight = copy_weights(cluster, item, who, labels)
-                guess = []
                 for i, model in enumerate(models):
                     post, b = expectation(model, item, who, labels[i], weight, batch.num_rows)
-                    guess.append(post.argmax(1))
                     for name, x in sums_of(model, post, b, item, who, labels[i]).items():
                         total[f"{i}:{name}"] = total.get(f"{i}:{name}", 0) + x
-                if with_copies:
-                    # sparse sums over the items that two annotators share: items on which either errs, and equal labels there
-                    for name, x in shared_errors(annotators, batch.num_rows, item, who, labels, guess).items():
-                        total[name] = total.get(name, 0) + x
             yield pa.RecordBatch.from_arrays([pa.array([packed(total)] if total else [], pa.binary())], ["sums"])
 
         total: dict[str, np.ndarray] = {}
@@ -194,12 +190,31 @@ class Consensus:
             for name, x in np.load(io.BytesIO(r.sums)).items():
                 total[name] = total.get(name, 0) + x
         state.unpersist()
-        shared = (total.pop("either"), total.pop("same")) if with_copies and "either" in total else None
-        return total, shared
+        return total
 
-    def _clusters(self, either: np.ndarray, same: np.ndarray) -> np.ndarray:
+    def _copies(self) -> list[tuple[int, int]]:
+        """Pairs of annotators (the smaller number first) who share their errors: counted as sparse pairs, summed in Spark."""
+        state = self.spark.sparkContext.broadcast((self.models, self.cluster))
+
+        def run(batches):
+            models, cluster = state.value
+            for batch in batches:
+                item, who, labels = flat(batch)
+                if not len(item):
+                    continue
+                weight = copy_weights(cluster, item, who, labels)
+                for i, model in enumerate(models):
+                    post, _ = expectation(model, item, who, labels[i], weight, batch.num_rows)
+                    for part in shared_errors(item, who, labels[i], post.argmax(1)):
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in part], ["a", "b", "either", "same"])
+
+        counted = self.items.select("who", *FIELDS).mapInArrow(run, "a long, b long, either double, same double")
+        summed = counted.groupBy("a", "b").agg(F.sum("either").alias("either"), F.sum("same").alias("same"))
+        return [(r.a, r.b) for r in summed.filter((F.col("either") >= COPY_ITEMS) & (F.col("same") >= COPY_SHARE * F.col("either"))).orderBy("a", "b").collect()]
+
+    def _clusters(self, copies: list[tuple[int, int]]) -> np.ndarray:
         cluster = np.arange(len(self.annotators))
-        for a, b in zip(*np.nonzero(np.triu((either >= COPY_ITEMS) & (same >= COPY_SHARE * either), 1)), strict=True):
+        for a, b in copies:
             cluster[cluster == cluster[b]] = cluster[a]
         return cluster
 
@@ -231,7 +246,7 @@ class Consensus:
 
     def reliability(self) -> DataFrame:
         """annotator, field, mean ability, expected accuracy at usual difficulty, labels, and the smallest member of the copies."""
-        sums, _ = self._pass(False)
+        sums = self._pass()
         rows = []
         if not sums:
             return self.spark.createDataFrame(rows, "annotator string, field string, ability double, accuracy double, n_labels long, copies_of string")
@@ -243,24 +258,30 @@ class Consensus:
         return self.spark.createDataFrame(rows, "annotator string, field string, ability double, accuracy double, n_labels long, copies_of string")
 
 
-def shared_errors(annotators: int, items: int, item: np.ndarray, who: np.ndarray, labels: list[np.ndarray], guess: list[np.ndarray]) -> dict[str, np.ndarray]:
-    """For each two annotators: items on which either errs in a field, and those of them on which both gave the same label."""
-    either = np.zeros((annotators, annotators))
-    same = np.zeros((annotators, annotators))
-    for label, best in zip(labels, guess, strict=True):
-        there = np.zeros((items, annotators))
-        there[item, who] = 1
-        errs = np.zeros((items, annotators))
-        errs[item, who] = label != best[item]
-        fine = there - errs
-        both_wrong = errs.T @ errs
-        either += both_wrong + errs.T @ fine + fine.T @ errs
-        for value in np.unique(label):
-            one = np.zeros((items, annotators))
-            hit = (label == value) & (label != best[item])
-            one[item[hit], who[hit]] = 1
-            same += one.T @ one
-    return {"either": either, "same": same}
+def shared_errors(item: np.ndarray, who: np.ndarray, label: np.ndarray, best: np.ndarray, at_once: int = 2_000_000) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, either, same) of the pairs of annotators with a label of one item where either errs: items, and equal wrong labels.
+
+    item comes sorted. Only labels that err are paired with the others of their item, some millions of pairs at a time. Of two
+    that err both see the pair, and count half of it each.
+    """
+    errs = label != best[item]
+    first = np.searchsorted(item, item, "left")
+    size = np.searchsorted(item, item, "right") - first
+    wrong = np.flatnonzero(errs)
+    cuts = np.searchsorted(np.cumsum(size[wrong]), np.arange(at_once, size[wrong].sum() + at_once, at_once)) + 1
+    span = int(who.max()) + 1 if len(who) else 1
+    for part in np.split(wrong, cuts[:-1]):
+        if not len(part):
+            continue
+        n = size[part]
+        left = np.repeat(part, n)
+        right = np.repeat(first[part] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        keep = left != right
+        left, right = left[keep], right[keep]
+        half = np.where(errs[right], 0.5, 1.0)
+        a, b = np.minimum(who[left], who[right]).astype(np.int64), np.maximum(who[left], who[right]).astype(np.int64)
+        codes, at = np.unique(a * span + b, return_inverse=True)
+        yield codes // span, codes % span, np.bincount(at, half, len(codes)), np.bincount(at, half * (label[left] == label[right]), len(codes))
 
 
 def chance_corrected(labels: DataFrame) -> DataFrame:

@@ -7,10 +7,20 @@ from pyspark.sql import functions as F
 
 
 def running_duplicates(events: DataFrame, keys: list[str], order: list[str], eligible: str | None = None) -> DataFrame:
-    """events with is_duplicate: an earlier eligible event has the same keys, and this one is eligible."""
+    """events with is_duplicate: an earlier eligible event has the same keys, and this one is eligible.
+
+    Only the first eligible event of each key matters, so an aggregation (combined before its shuffle) and a join on the keys
+    decide, and no task sorts a hot key's events. Null keys are keys like any other; order must tell events apart.
+    """
     flag = F.coalesce(F.col(eligible), F.lit(False)) if eligible else F.lit(True)
-    earlier = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("is_duplicate", flag & (F.coalesce(F.sum(flag.cast("int")).over(earlier), F.lit(0)) > 0))
+    at = F.struct(*order)
+    first = events.filter(flag).groupBy(*[F.col(k).alias(f"key_{k}") for k in keys]).agg(F.min(at).alias("first_at"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"key_{k}"))
+    joined = events.join(first, same, "left")
+    late = F.coalesce(at > F.col("first_at"), F.lit(False))
+    return joined.withColumn("is_duplicate", flag & late).select(*events.columns, "is_duplicate")
 
 
 def over_budget(events: DataFrame, keys: list[str], order: list[str], budget: int) -> DataFrame:

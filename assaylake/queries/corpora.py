@@ -111,22 +111,26 @@ def canonical_outputs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def constraint_audit(spark: SparkSession, path: str) -> DataFrame:
-    """Keys, references, domains and ranges of several tables, one row per rule."""
+    """Keys, references, domains and ranges of several tables, one row per rule; all rules of a row in one scan of its table."""
     lineitem, orders, runs = _table(spark, path, "lineitem"), _table(spark, path, "orders"), _table(spark, path, "pilot_runs")
     line = lineitem.withColumn("line", F.concat_ws("|", "l_orderkey", "l_linenumber"))
+    hashes = F.coalesce("prompt_hashes", F.array().cast("array<string>"))
     found = constraints.violations(
         constraints.unique(orders, "orders_key", "o_orderkey"),
         constraints.unique(line, "line_key", "line"),
         constraints.foreign_key(line, "line_order", "line", "l_orderkey", orders, "o_orderkey"),
         constraints.foreign_key(line, "line_part", "line", "l_partkey", _table(spark, path, "part"), "p_partkey"),
         constraints.foreign_key(line, "line_supplier", "line", "l_suppkey", _table(spark, path, "supplier"), "s_suppkey"),
-        constraints.in_domain(line, "line_flag", "line", "l_returnflag", ["A", "N", "R"]),
-        constraints.holds(line, "line_discount", "line", F.col("l_discount").between(0, 0.1), F.col("l_discount")),
+        constraints.row_rules(line, "line", {
+            "line_flag": (F.col("l_returnflag").isin("A", "N", "R"), F.col("l_returnflag")), "line_discount": (F.col("l_discount").between(0, 0.1), F.col("l_discount")),
+        }),
         constraints.unique(runs, "run_cell", "task_id", "model", "seed", "method"),
-        constraints.not_null(runs, "run_config", "run_id", "model", "config_hash"),
-        constraints.subset(runs, "run_hashes", "run_id", F.col("prompt_hashes"), F.array_compact(F.array_distinct("prompt_hashes"))),
+        constraints.row_rules(runs, "run_id", {
+            "run_config": (F.col("model").isNotNull() & F.col("config_hash").isNotNull(), F.concat_ws(",", F.when(F.col("model").isNull(), "model"), F.when(F.col("config_hash").isNull(), "config_hash"))),
+            "run_hashes": (F.forall(hashes, lambda h: h.isNotNull()), F.size(hashes)),
+        }),
         constraints.foreign_key(runs.select("run_id", F.explode("prompt_hashes").alias("prompt_hash")), "run_prompt", "run_id", "prompt_hash", _table(spark, path, "prompts"), "prompt_hash"),
-    )
+    )
     return constraints.audit(found, RULES)
 
 

@@ -5,8 +5,8 @@ STOPWORDS = {
     "en": "a an the this that these those of to in on at by for from with without into onto about between through during against among under over before after since until while and or but nor because although though if unless whereas whether is are was were be been being has have had do does did will would shall should can could may might must not it its he him his she her they them their we us our you your i me my who whom whose which what when where why how as than then there here all each every both either neither some any no such".split(),
     "de": "der die das den dem des ein eine einen einem einer eines dieser diese dieses diesem diesen jener jene und oder aber sondern denn weil dass ob obwohl wenn als wie während bevor nachdem damit ist sind war waren sein wird werden wurde wurden worden hat haben hatte hatten kann können muss müssen soll darf nicht kein keine keinen mit von zu zum zur bei beim nach vor aus auf für im in an am um durch gegen ohne seit trotz wegen zwischen über unter ich du er sie es wir ihr sich mich mir ihm ihn ihnen auch nur noch schon".split(),
     "fr": "le la les un une des du de ce cet cette ces et ou mais donc or ni car que qui quoi dont où si comme quand lorsque puisque parce afin est sont était étaient être été a ont avait avaient avoir eu sera ne pas plus dans par pour sur sous avec sans avant après depuis pendant entre vers chez contre malgré je tu il elle nous vous ils elles on se son sa ses leur leurs mon ma mes au aux en y lui".split(),
-    "es": "el la los las un una unos unas este esta estos estas ese esa esos esas y o u pero sino ni que quien cuyo si como cuando donde aunque porque mientras pues es son era eran ser sido está están estaba ha han había haber fue fueron no de del a al en con por para sin sobre bajo entre desde hasta hacia durante contra según tras yo tú él ella nosotros ellos ellas se su sus mi lo le les me te nos muy ya también".split(),
-    "pt": "o a os as um uma uns umas este esta estes estas esse essa isso isto aquele aquela e ou mas nem que quem cujo se como quando onde embora porque enquanto pois é são era eram ser sido está estão estava tem têm tinha foi foram não de do da dos das em no na nos nas ao aos à às com por pelo pela pelos pelas para sem sob sobre entre desde até durante contra após eu tu ele ela nós eles elas seu sua seus suas lhe me já também".split(),
+    "es": "el la los las un una unos unas este esta estos estas ese esa esos esas y o u pero sino ni que quien cuyo si como cuando donde aunque porque mientras pues es son era eran ser sido está están estaba ha han había haber fue fueron no de del a al en con por para sin sobre bajo entre desde hasta hacia durante contra según tras yo tú él ella nosotros ellos ellas se su sus mi lo le les me te nos muy ya también antes después".split(),
+    "pt": "o a os as um uma uns umas este esta estes estas esse essa isso isto aquele aquela e ou mas nem que quem cujo se como quando onde embora porque enquanto pois é são era eram ser sido está estão estava tem têm tinha foi foram não de do da dos das em no na nos nas ao aos à às com por pelo pela pelos pelas para sem sob sobre entre desde até durante contra após eu tu ele ela nós eles elas seu sua seus suas lhe me já também antes depois".split(),
     "it": "il lo la i gli le un uno una questo questa questi queste quello quella e o ma né che chi cui se come quando dove benché perché mentre poiché è sono era erano essere stato stata ha hanno aveva avere fu non di del dello della dei degli delle a al allo alla ai agli alle da dal dalla dai in nel nella nei con su sul sulla per senza sotto sopra tra fra durante contro dopo prima io tu lui lei noi voi loro si suo sua suoi ne ci già anche più".split(),
     "nl": "de het een deze dit die dat en of maar want noch omdat hoewel als toen terwijl voordat nadat zodat is zijn was waren wordt worden werd werden geweest heeft hebben had hadden kan kunnen moet moeten mag zal niet geen van in op aan met voor door bij naar uit tot om over onder tussen tegen zonder sinds tijdens tegenover te ik jij hij zij wij ze er we u hem haar hun zich mijn ons ook nog al".split(),
     "ru": "и а но или что чтобы если когда пока как так это этот эта эти тот та те который которая которые где куда откуда почему потому поэтому хотя ли не ни нет да в во на с со из от до по за под над при для без к ко о об у через между перед после был была было были есть будет быть я ты он она оно мы вы они его её ее их ему ей им меня тебя нас вас себя свой своя свои мой наш ваш уже ещё еще только также же бы".split(),

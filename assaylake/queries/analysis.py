@@ -263,8 +263,10 @@ ORACLES: dict[str, str] = {
     "signflip_p": f"""
         WITH {_PAIRS_SQL.format(unit='task_id, seed', where='')}, m AS (SELECT task_id, avg(difference) AS y FROM pr GROUP BY 1),
         p AS (SELECT *, row_number() OVER (ORDER BY task_id) - 1 AS place FROM m), o AS (SELECT count(*) AS n_clusters, avg(y) AS observed FROM m),
-        h AS (SELECT d, b, md5(concat_ws(':', 2027, d, b)) AS h FROM range(20000) AS g(d), range((SELECT count(*) // 128 + 1 FROM p)) AS q(b)),
-        v AS (SELECT d, avg(((instr('0123456789abcdef', substr(h, cast(1 + (place % 128) // 4 AS int), 1)) - 1) >> cast(3 - place % 4 AS int) & 1) * 2 * y - y) AS value FROM p JOIN h ON b = place // 128 GROUP BY 1)
+        f AS (SELECT count(*) AS n, CASE WHEN count(*) <= 18 THEN 1::BIGINT << least(count(*), 18) ELSE 20000 END AS flips FROM m),
+        h AS (SELECT d, b, n, md5(concat_ws(':', 2027, d, b)) AS h FROM range(262144) AS g(d), range((SELECT count(*) // 128 + 1 FROM p)) AS q(b), f WHERE d < flips),
+        v AS (SELECT d, avg((CASE WHEN n <= 18 THEN (d >> place) & 1 ELSE (instr('0123456789abcdef', substr(h, cast(1 + (place % 128) // 4 AS int), 1)) - 1) >> cast(3 - place % 4 AS int) & 1 END) * 2 * y - y) AS value
+            FROM p JOIN h ON b = place // 128 GROUP BY 1)
         SELECT n_clusters, round(observed, 8) AS observed, round((sum(cast(abs(value) >= abs(observed) - 1e-12 AS int)) + 1)::DOUBLE / (count(*) + 1), 8) AS p_value FROM v, o GROUP BY n_clusters, observed""",
     "mcnemar_exact": f"WITH {_MCNEMAR_SQL} SELECT * FROM t",
     "holm_adjust": f"""

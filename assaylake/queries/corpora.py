@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.functions.columns import family_of, rounded, spelled, variant_of, words
 from assaylake.operators import agreement, constraints, design, eventlog, hashing, matching, overlap, simulation
+from assaylake.session import shared_folder
 from assaylake.streaming import events as streams
 
 ORDER = ["ts", "event_id"]
@@ -63,14 +66,10 @@ def event_pivot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_fold(spark: SparkSession, path: str) -> DataFrame:
-    """The running duplicates as a stream over the same file, with state per user, type and props; the result after all input."""
-    name = f"duplicates_{abs(hash(path))}"
-    stream = streams.stream_duplicates(streams.read_events(spark, path, _events(spark, path).schema))
-    query = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    if not query.awaitTermination(600):
-        query.stop()
-        raise TimeoutError("stream_fold: input left after 600 seconds")
-    return spark.table(name)
+    """The running duplicates as a stream over the same files, flagged batch by batch in the shared folder; the result after all input."""
+    folder = f"{shared_folder(spark).rstrip('/')}/duplicates-{uuid.uuid4().hex}"
+    streams.write_duplicates(streams.read_events(spark, path, _events(spark, path).schema), folder).awaitTermination()
+    return streams.read_duplicates(spark, folder)
 
 
 def duplicate_groups(spark: SparkSession, path: str) -> DataFrame:

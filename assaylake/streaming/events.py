@@ -1,4 +1,4 @@
-"""Event streams: windowed rates with a watermark, and duplicates with state per key.
+"""Event streams: windowed rates with a watermark, and duplicates with state per key or with keys in a folder.
 
 The same functions serve batch frames; files, sockets or queues are read by the caller.
 """
@@ -8,14 +8,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from assaylake.operators.eventlog import running_duplicates
+
+KEYS = ["user_id", "event_type", "props"]
+
 
 def read_events(spark: SparkSession, folder: str, schema, name: str = "events.parquet") -> DataFrame:
-    """A stream of the parquet files of that name in a folder, with ts as a timestamp."""
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    """A stream of the parquet files of that name (or pattern) in a folder, or of those in a folder of that name, with ts as a timestamp."""
+    pattern = name if set(name) & set("*?[{") else f"{name[:-1]}[{name[-1]}]"  # as a pattern, since a stream takes no single file
+    stream = spark.readStream.schema(schema).parquet(f"{folder}/{pattern}")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -55,3 +62,34 @@ def stream_duplicates(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", "event_type", "props").applyInPandasWithState(
         step, "user_id long, event_id long, is_duplicate boolean", "seen boolean", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def write_duplicates(events: DataFrame, folder: str) -> StreamingQuery:
+    """Start a stream that writes the flags of stream_duplicates for all input that is there; read_duplicates reads them.
+
+    Each batch is flagged by joins with the first event of every key in it and with the keys of the batches before, which are
+    those of the events that were no duplicates. Nothing passes through Python or the driver, no key costs a call or stays in
+    memory, and a batch that runs again overwrites what it wrote.
+    """
+
+    def fold(batch: DataFrame, number: int) -> None:
+        flagged = running_duplicates(batch, KEYS, ["ts", "event_id"]).select(*KEYS, "event_id", "is_duplicate")
+        if number:
+            before = batch.sparkSession.read.schema(flagged.schema).parquet(*[f"{folder}/flags/{n}" for n in range(number)])
+            known = before.filter(~F.col("is_duplicate")).select(*[F.col(k).alias(f"key_{k}") for k in KEYS], F.lit(True).alias("known"))
+            same = [F.col(k).eqNullSafe(F.col(f"key_{k}")) for k in KEYS]
+            flagged = flagged.join(known, same, "left").select(*KEYS, "event_id", (F.col("is_duplicate") | F.coalesce("known", F.lit(False))).alias("is_duplicate"))
+        flagged.write.mode("overwrite").parquet(f"{folder}/flags/{number}")
+
+    return events.writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+
+
+def read_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """user_id, event_id, is_duplicate as written by write_duplicates; no rows if there was no input."""
+    schema = "user_id long, event_id long, is_duplicate boolean"
+    try:
+        return spark.read.schema(schema).parquet(f"{folder}/flags/*")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from assaylake.operators import eventlog
+from assaylake.queries import QUERIES
 from assaylake.streaming import events as streams
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -70,3 +71,26 @@ def test_stream_keeps_every_signature_of_a_hot_user(spark, tmp_path):
     ids = [r.event_id for r in df.orderBy("ts", "event_id").select("event_id").collect()]
     assert sorted(r.event_id for r in spark.table("hot_dups").filter("is_duplicate").collect()) == sorted(ids[n:])
     assert spark.table("hot_dups").count() == n + 20
+
+
+def test_stream_fold_takes_many_keys_from_a_folder_without_python_or_the_driver(spark, tmp_path, monkeypatch):
+    n = 300_000
+    df = spark.range(n + 50).selectExpr("id event_id", "timestamp_ntz '2024-01-01' + make_interval(0,0,0,0,0,cast(id as int),0) ts", "id % 7 user_id", "'a' event_type", "if(id % 7 = 3, null, cast(id % {n} as string)) props".format(n=n))
+    df.repartition(3).write.parquet(str(tmp_path / "events.parquet"))  # a folder of files
+    monkeypatch.setattr(streams, "stream_duplicates", None)
+    got = QUERIES["stream_fold"](spark, str(tmp_path))
+    want = eventlog.running_duplicates(df, ["user_id", "event_type", "props"], ["ts", "event_id"]).select("user_id", "event_id", "is_duplicate")
+    assert got.count() == n + 50 and got.exceptAll(want).count() == 0
+
+
+def test_duplicates_are_known_from_earlier_batches(spark, tmp_path):
+    df = make(spark, [(i % 3, "ab"[i % 2], None if i % 5 == 0 else str(i % 4)) for i in range(60)]).select("event_id", "ts", "user_id", "event_type", "props")
+    want = {(r.user_id, r.event_id): r.is_duplicate for r in eventlog.running_duplicates(df, ["user_id", "event_type", "props"], ["ts", "event_id"]).collect()}
+    for k in range(3):
+        df.filter(F.col("event_id").between(20 * k, 20 * k + 19)).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+        streams.write_duplicates(streams.read_events(spark, str(tmp_path), df.schema), str(tmp_path / "out")).awaitTermination()
+    assert {(r.user_id, r.event_id): r.is_duplicate for r in streams.read_duplicates(spark, str(tmp_path / "out")).collect()} == want
+
+
+def test_stream_of_nothing(spark, tmp_path):
+    assert streams.read_duplicates(spark, str(tmp_path)).columns == ["user_id", "event_id", "is_duplicate"]

@@ -115,6 +115,32 @@ def test_recall_of_items_with_changed_words(rate, least):
     assert true > 100 and found >= least * true
 
 
+def test_excerpts_with_changed_words_in_another_order():
+    """Three excerpts of 14 words, 0.6 of an item, in turn around; in each a word is changed, put in or left out, also near its end."""
+    import numpy as np
+
+    rnd, rng = random.Random(21), np.random.default_rng(21)
+    index = index_of([sentence(rnd, 70) for _ in range(60)])
+    fill = lambda n: rng.integers(1, 1 << 63, n, dtype=np.uint64)
+    found = 0
+    for n, words in enumerate(index.words):
+        text = [fill(15)]
+        for k, first in enumerate((46, 23, 0)):
+            piece, at = words[first : first + 14], rnd.choice((3, 11))
+            text += [piece[:at], fill(int(k < 2)), piece[at + (k != 1) :], fill(15)]  # changed, put in, left out
+        found += n in [i for i, _ in index.leaked(np.concatenate(text))]
+    assert found >= 0.95 * len(index.words), found
+
+
+def test_a_run_counts_with_the_parts_that_are_alike_enough():
+    import numpy as np
+
+    same, weights = np.ones(60, bool), np.ones(60)
+    same[30:60:5], weights[30:60:5] = False, 5.0
+    inside = leaks.in_passages(same, weights)
+    assert inside[:30].all() and not inside[45:].any()
+
+
 def test_without_a_near_fingerprint_nothing_is_found(monkeypatch):
     """The fingerprints carry the result: with a radius below zero even a whole copy is missed, and nearness finds changed light words."""
     rnd = random.Random(12)

@@ -2,12 +2,16 @@
 
 Atoms have a group (category and key) and match inside it only. Groups with one atom on either side are an equality join with
 one best edge; only others run an assignment solver, one group at a time in an Arrow-fed Python function. Weights of 0 never
-match.
+match. Texts that match by shared words don't list their pairs: a task gets a group's texts and counts the words itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +56,134 @@ def assignment(weights: list[list[float]]) -> list[tuple[int, int]]:
     return sorted((c, r) if flip else (r, c) for r, c in pairs)
 
 
+def assignment_of_counts(weights: np.ndarray, at_once: int = 128) -> np.ndarray:
+    """Pairs of a maximum-weight one-to-one assignment of whole numbers >= 0, as rows (row, column); pairs of weight 0 are left open.
+
+    Primal-dual: all rows start at the price of the largest weight, and those that are free fall together. At each price the
+    edges without slack are matched, by breadth-first forests from all free rows at once, until no path ends at a free column;
+    then prices move. So the forests grow with the size of the weights and not with the number of rows, and are array steps.
+    """
+    flip = weights.shape[0] > weights.shape[1]
+    w = np.ascontiguousarray(weights.T if flip else weights)
+    n, m = w.shape
+    price_row, price_col = np.full(n, w.max(initial=0), np.int32), np.zeros(m, np.int32)
+    row_of, col_of, every = np.full(m, -1), np.full(n, -1), np.arange(m)
+    while True:
+        for r in np.flatnonzero(col_of < 0).tolist():
+            open_to = np.flatnonzero((price_col + price_row[r] == w[r]) & (row_of < 0))
+            if len(open_to):
+                row_of[open_to[0]], col_of[r] = r, open_to[0]
+        free = np.flatnonzero(col_of < 0)
+        if not len(free) or price_row[free[0]] == 0:
+            break
+        slack, came, seen = np.full(m, np.iinfo(np.int32).max, np.int32), np.full(m, -1), np.zeros(m, bool)
+        root, reached = np.full(n, -1), np.zeros(n, bool)
+        root[free], reached[free], frontier = free, True, free
+        while True:
+            for at in range(0, len(frontier), at_once):
+                rows = frontier[at : at + at_once]
+                block = price_row[rows].astype(w.dtype)[:, None] - w[rows]
+                least = block.argmin(0)
+                here = block[least, every] + price_col
+                better = here < slack
+                slack[better], came[better] = here[better], rows[least[better]]
+            while not len(tight := np.flatnonzero((slack == 0) & ~seen)) and price_row[free[0]] > 0:
+                by = min(int(slack[~seen].min()), int(price_row[free[0]]))
+                price_row[reached] -= by
+                price_col[seen] += by
+                slack[~seen] -= by
+            if price_row[free[0]] == 0:
+                break
+            seen[tight] = True
+            ends = tight[row_of[tight] < 0]
+            if len(ends):
+                done = set()
+                for c in ends.tolist():
+                    if root[came[c]] not in done:  # the trees share nothing, so one path of each can be taken
+                        done.add(root[came[c]])
+                        while c >= 0:
+                            r = came[c]
+                            row_of[c] = r
+                            c, col_of[r] = col_of[r], c
+                break
+            frontier = row_of[tight]
+            root[frontier], reached[frontier] = root[came[tight]], True
+    rows = np.flatnonzero(col_of >= 0)
+    rows = rows[w[rows, col_of[rows]] > 0]
+    pairs = np.stack([rows, col_of[rows]], 1)
+    return pairs[:, ::-1] if flip else pairs
+
+
+def shared_counts(lefts: list[list[str]], rights: list[list[str]]) -> np.ndarray:
+    """How many words each left list shares with each right one, lists being without repeats; bit by bit, as whole numbers."""
+    number: dict[str, int] = {}
+    for words in rights:
+        for word in words:
+            number.setdefault(word, len(number))
+
+    def bits(lists: list[list[str]]) -> np.ndarray:
+        out = np.zeros((len(lists), max(1, -(-len(number) // 64))), np.uint64)
+        for row, words in zip(out, lists, strict=True):
+            held = np.array([number[word] for word in words if word in number], np.int64)
+            np.bitwise_or.at(row, held >> 6, np.uint64(1) << (held & 63).astype(np.uint64))
+        return out
+
+    one, other = bits(lefts), bits(rights)
+    out = np.empty((len(lefts), len(rights)), np.int16 if max(map(len, rights), default=0) < 1 << 14 else np.int32)
+    for at, row in enumerate(one):
+        some = np.flatnonzero(row)
+        out[at] = np.bitwise_count(other[:, some] & row[some]).sum(1, dtype=out.dtype)
+    return out
+
+
+def word_matches(lefts: DataFrame, rights: DataFrame, group: str, left: str, right: str, words: str) -> DataFrame:
+    """group, left, right, weight of a maximum-weight one-to-one matching inside each group by the number of shared words.
+
+    lefts: group, left, words; rights: group, right, words (arrays without repeats). Each text is shuffled once, and a group is
+    matched where it lies: pairs are never rows, and the largest group costs its task two bytes a pair. Null groups and words
+    match nothing.
+    """
+    kinds = {f.name: f.dataType for df in (lefts, rights) for f in df.schema.fields}
+    side = lambda df, own, other: df.filter(F.col(group).isNotNull() & F.col(words).isNotNull()).select(
+        group, F.col(own).alias(own), F.lit(None).cast(kinds[other]).alias(other), F.lit(own == left).alias("is_left"), words
+    )
+    texts = side(lefts, left, right).select(group, "is_left", left, right, words).unionAll(side(rights, right, left).select(group, "is_left", left, right, words))
+    out = texts.select(group, left, right, F.lit(0.0).alias("weight")).schema
+
+    def solved(key, of_left: list[tuple], of_right: list[tuple]) -> list[tuple]:
+        if not of_left or not of_right:
+            return []
+        if len(of_left) * len(of_right) <= 64:
+            sets = [set(b) for _, b in of_right]
+            table = [[float(len(s.intersection(a))) for s in sets] for _, a in of_left]
+            return [(key, of_left[i][0], of_right[j][0], table[i][j]) for i, j in assignment(table) if table[i][j] > 0]
+        table = shared_counts([a for _, a in of_left], [b for _, b in of_right])
+        return [(key, of_left[i][0], of_right[j][0], float(table[i, j])) for i, j in assignment_of_counts(table).tolist()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target, key, sides, ready = to_arrow_schema(out), None, ([], []), []
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*ready, strict=True)) if ready else [()] * len(target)
+            ready.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, target.types, strict=True)], schema=target)
+
+        for batch in batches:
+            for now, is_left, a, b, held in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if now != key:
+                    ready += solved(key, *sides)
+                    key, sides = now, ([], [])
+                sides[not is_left].append((a if is_left else b, held))
+            if ready:
+                yield flush()
+        ready += solved(key, *sides)
+        yield flush()
+
+    return texts.repartition(group).sortWithinPartitions(group, "is_left", left, right).mapInArrow(run, out)
+
+
 def best_matches(edges: DataFrame, group: list[str], left: str, right: str, weight: str) -> DataFrame:
     """group, left, right, weight of a maximum-weight one-to-one matching inside each group. Edges must be unique."""
     good = edges.filter(F.col(weight) > 0).select(*group, left, right, weight)

@@ -229,10 +229,9 @@ def state_scores(spark: SparkSession, path: str) -> DataFrame:
 
 def assignment_match(spark: SparkSession, path: str) -> DataFrame:
     """Prompts of a task matched one to one with its packets' observations by shared words."""
-    prompts = _table(spark, path, "prompts").select("task_id", F.col("prompt_hash").alias("left"), F.array_distinct(words("prompt_text")).alias("lw"))
-    packets = _table(spark, path, "packets").filter("workflow_observation is not null").select("task_id", F.col("packet_id").alias("right"), F.array_distinct(words("workflow_observation")).alias("rw"))
-    edges = prompts.join(packets, "task_id").select("task_id", "left", "right", F.size(F.array_intersect("lw", "rw")).cast("double").alias("weight"))
-    return matching.best_matches(edges, ["task_id"], "left", "right", "weight")
+    prompts = _table(spark, path, "prompts").select("task_id", F.col("prompt_hash").alias("left"), F.array_distinct(words("prompt_text")).alias("words"))
+    packets = _table(spark, path, "packets").select("task_id", F.col("packet_id").alias("right"), F.array_distinct(words("workflow_observation")).alias("words"))
+    return matching.word_matches(prompts, packets, "task_id", "left", "right", "words")
 
 
 def priority_tiers(spark: SparkSession, path: str) -> DataFrame:

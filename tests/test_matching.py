@@ -1,6 +1,7 @@
 import random
 from itertools import permutations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +24,26 @@ def test_assignment_is_maximal(seed):
     assert total == max(sum(at(i, j) for i, j in enumerate(p)) for p in permutations(range(large), small))
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_assignment_of_counts_weighs_as_much(seed):
+    rng = np.random.default_rng(seed)
+    w = rng.integers(0, (2, 4, 30)[seed % 3], rng.integers(1, 12, 2)).astype(np.int16)
+    pairs = matching.assignment_of_counts(w, 2)
+    assert len(set(pairs[:, 0])) == len(set(pairs[:, 1])) == len(pairs) and (w[tuple(pairs.T)] > 0).all()
+    assert w[tuple(pairs.T)].sum() == sum(w[r, c] for r, c in matching.assignment(w.astype(float).tolist()))
+
+
+def test_words_match_a_large_group_without_listing_its_pairs(spark):
+    """A group of 1,200 by 1,300 texts, whose best matching is known, among small ones."""
+    rows = [("hot", f"l{i}", [f"w{i}", f"w{i + 1}", "the"]) for i in range(1200)] + [("a", "x", ["p", "q"]), ("b", "y", ["p"]), (None, "z", ["p"]), ("a", "n", None)]
+    others = [("hot", i, [f"w{i}", f"w{i + 1}", "the", "a"]) for i in range(1300)] + [("a", 1, ["q"]), ("a", 2, ["q", "p"]), ("c", 3, ["p"]), (None, 4, ["p"])]
+    lefts, rights = spark.createDataFrame(rows, "g string, left string, words array<string>"), spark.createDataFrame(others, "g string, right long, words array<string>")
+    out = matching.word_matches(lefts, rights, "g", "left", "right", "words")
+    assert out.dtypes == [("g", "string"), ("left", "string"), ("right", "bigint"), ("weight", "double")]
+    got = {tuple(r) for r in out.collect()}
+    assert got == {("hot", f"l{i}", i, 3.0) for i in range(1200)} | {("a", "x", 2, 2.0)}
+
+
 def test_state_scores_of_the_closed_form_cases(spark):
     gold = [claim("1", "destination", '"Boston"', weight=3.0), claim("2", "dates", '["Tue","Wed"]', "set")]
     pred = [claim("1", "destination", '"Boston"'), claim("2", "dates", '["Wed","Thu"]', "set"), claim("3", "invented", '"x"')]

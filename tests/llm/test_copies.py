@@ -134,6 +134,22 @@ def test_recall_over_similarities_with_even_and_uneven_edits(spark):
     assert got <= want and len(want) > 80 and len(got) >= 0.98 * len(want), (len(got), len(want))
 
 
+def test_no_overlap_is_left_out(spark):
+    """All pairs of half-alike texts: in runs of three words in another order, or of a few common words, in shards of any size."""
+    rnd = random.Random(17)
+    own = lambda: rnd.choice(VOCAB) + rnd.choice(VOCAB)
+    rows = []
+    for i in range(70):
+        words = [own() if i % 2 else rnd.choice(VOCAB[:12]) for _ in range(rnd.randrange(12, 120))]
+        blocks = [words[at : at + 3 + i % 3] for at in range(0, len(words), 3 + i % 3)]
+        rnd.shuffle(blocks)
+        rows += [("train", None, None, " ".join(words)), ("dev", None, None, " ".join(w for b in blocks for w in b))]
+    want = {(a, b) for a in range(0, 140, 2) for b in range(1, 140, 2) if alike(rows[a][3], rows[b][3]) >= 0.5}
+    records = splits.materialize(splits.coded_records(tasks(spark, rows)))
+    for n in (500, 100_000):
+        assert {(r.train_id, r.other_id) for r in splits.trace_overlaps(records, shard_passages=n).collect()} == want and len(want) > 50
+
+
 def test_shards_change_nothing(spark, corpus):
     rnd = random.Random(3)
     rows = [(("train", "dev")[i % 2], None, None, t) for i, t in enumerate(corpus) if t]
